@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm import byte_bpe, shards, simhash_join, token_counts, url_rules
+from plumeria.llm import byte_bpe, decontaminate, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, zip_warc
 from plumeria.llm.common import table
 
 
@@ -23,11 +23,32 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_divergence.rate_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop_text=True)
+    q = F.col(quality_divergence.COUNTS)
+    return rated.select("doc_id", *(q[c].alias(c) for c in quality_divergence.BASE), "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return n.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score_documents(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
@@ -49,7 +70,11 @@ def op10_simhash_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": op1_quality_divergence,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_counts": op3_token_counts,
+    "op4_zip_warc": op4_zip_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_url_rules": op8_url_rules,
     "op9_byte_shards": op9_byte_shards,
