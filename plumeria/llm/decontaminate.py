@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ship
+from plumeria.llm.common import saved, ship
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, BITS, SEED = 8, 2, 4, 11
@@ -244,6 +244,9 @@ def find_passages(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a passage of the benchmark. Documents with a null id are kept."""
-    hits = find_passages(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
+    """docs without those that hold a passage of the benchmark. Documents with a null id are kept.
+
+    The ids found are written first, so Spark knows their size: few are broadcast, many shuffled.
+    """
+    hits = saved(find_passages(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "contaminated")
     return docs.join(hits, id_col, "left_anti")

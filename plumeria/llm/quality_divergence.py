@@ -19,7 +19,7 @@ only few windows repeat, their places are looked up directly.
 
 Nulls: a null text has no words (and fails the base rules); a null or unlisted language adds to
 no reference. With no reference at all (an empty table, say) only the base rules decide. Repeated
-rows stay repeated. Columns of the input named char_distance, word_distance or kept are replaced.
+rows stay repeated. Columns of the input named _quality, _char_distance, _word_distance or _kept are replaced.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def distance(shares: Column, reference: list[float]) -> Column:
 
 
 def judged(rated: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Adds to counted rows: char_distance, word_distance (null where too short) and kept."""
+    """Adds to counted rows: _char_distance, _word_distance (null where too short) and _kept."""
     refs = references(rated, lang_col)
     q = F.col(COUNTS)
     long_chars, long_words = q["word_chars"] >= MIN_CHARS, q["n_words"] >= MIN_WORDS
@@ -165,13 +165,13 @@ def judged(rated: DataFrame, lang_col: str = "lang") -> DataFrame:
         each = let(_shares(counts, total), lambda s: F.array_min(F.array(*(distance(s, r[k]) for r in refs.values()))))
         return F.when(long, each)
 
-    out = rated.withColumn("char_distance", nearest(q["char_counts"], q["word_chars"], 0, long_chars))
-    out = out.withColumn("word_distance", nearest(q["word_counts"], q["n_words"], 1, long_words))
-    odd = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return out.withColumn("kept", ~q["base_failed"] & ~odd)
+    out = rated.withColumn("_char_distance", nearest(q["char_counts"], q["word_chars"], 0, long_chars))
+    out = out.withColumn("_word_distance", nearest(q["word_counts"], q["n_words"], 1, long_words))
+    odd = (F.coalesce("_char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("_word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    return out.withColumn("_kept", ~q["base_failed"] & ~odd)
 
 
 def rate_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", drop_text: bool = False) -> DataFrame:
-    """docs with the counts, char_distance, word_distance and kept. The counts are written once, with the columns of docs (without the text if ``drop_text``)."""
+    """docs with the counts, _char_distance, _word_distance and _kept. The counts are written once, with the columns of docs (without the text if ``drop_text``)."""
     counted = features(docs, text_col)
     return judged(saved(counted.drop(text_col) if drop_text else counted, "quality"), lang_col)

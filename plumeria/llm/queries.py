@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm import byte_bpe, decontaminate, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, zip_warc
+from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, zip_warc
 from plumeria.llm.common import table
 
 
@@ -26,7 +26,7 @@ def tokenizer_pattern() -> str:
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_divergence.rate_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop_text=True)
     q = F.col(quality_divergence.COUNTS)
-    return rated.select("doc_id", *(q[c].alias(c) for c in quality_divergence.BASE), "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return rated.select("doc_id", *(q[c].alias(c) for c in quality_divergence.BASE), F.col("_kept").alias("kept"), F.round("_char_distance", 6).alias("char_distance"), F.round("_word_distance", 6).alias("word_distance"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
+def op7_dom_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_zip_warc": op4_zip_warc,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_dom_extract": op7_dom_extract,
     "op8_url_rules": op8_url_rules,
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_tries": op10_simhash_tries,

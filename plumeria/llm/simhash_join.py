@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import saved, ship
@@ -64,16 +64,21 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(over * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): the fingerprint's 64 bits as a signed long."""
-    ship(docs.sparkSession)
+def fingerprint_column(text: Column, width: int = 4) -> Column:
+    """The fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
+    return fp(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp)"""
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp"))
 
 
 def block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -246,15 +251,39 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): the smallest id that a document reaches over links, its own included."""
-    prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
+def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
+    """(fp, component_id) of every fingerprint in prints (doc_id, fp): the smallest id reached over links."""
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     closed = components(near_links(least.select("fp"), budget))
     # the smallest id of each component of fingerprints, for those that have links
     named = closed.join(least.withColumnRenamed("fp", "node"), "node")
     roots = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = saved(closed.join(roots, "root").select(F.col("node").alias("fp"), "component_id"), "classes")
-    of_print = saved(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "classes")
-    out = prints.join(of_print, "fp")
+    return saved(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): the smallest id that a document reaches over links, its own included."""
+    prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    out = prints.join(classes(prints, budget), "fp")
     return out.select(F.col("doc_id").alias(id_col), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (then fingerprint); one of rows that tie in both.
+
+    The rows are written once with their fingerprints (in a column ``_fp``, replaced if docs has one).
+    """
+    columns = docs.columns
+    ship(docs.sparkSession)
+    docs = saved(docs.withColumn("_fp", fingerprint_column(F.col(text_col), width)), "fingerprinted")
+    prints = docs.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp"))
+    named = prints.join(classes(prints, budget), "fp")
+    # a component without any id is named by its fingerprints' links alone and has no name: its null is one component
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp")))
+    chosen = named.groupBy("component_id").agg(first.alias("f")).select("f.doc_id", "f.fp")
+    chosen = saved(chosen, "chosen").withColumnsRenamed({"doc_id": "_chosen_id", "fp": "_chosen_fp"})
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen_id")) & (F.col("_fp") == F.col("_chosen_fp")), "left_semi")
+    if not prints.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_fp"])
+    return kept.select(*columns)

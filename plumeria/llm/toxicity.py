@@ -39,6 +39,8 @@ VOCABULARY, MIN_COUNT, BUCKETS = 20_000, 4, 4096
 PER_CLASS, WINDOWS, SEED = 1200, 40, 7
 #: The largest share of toxic labels that training may set aside as errors.
 DOUBTED = 0.25
+#: Rounds of training, steps in each (at least), windows in a step; one text in ASIDE is kept for calibration.
+ROUNDS, STEPS, BATCH, ASIDE = 6, 60, 256, 5
 #: Windows scored at once; distinct words kept by a worker.
 CHUNK, MEMO_WORDS = 4096, 300_000
 PUNCTUATION = ".,;:!?'\"()[]{}|*#$%&-_<>"
@@ -63,7 +65,7 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.clip(x, -80, 80)))
 
 
 def start(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -250,6 +252,10 @@ class Model:
         out = np.concatenate([forward(self.p, self.gates, np.ascontiguousarray(all_[i : i + CHUNK])) for i in range(0, len(all_), CHUNK)])
         return np.split(out, np.cumsum([len(c) for c in cut])[:-1])
 
+    def logits_of(self, windows: list[list[str]]) -> np.ndarray:
+        """Logits of windows given as words."""
+        return np.concatenate(self.logits(windows))
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.p is None:
             return np.full(len(texts), self.prior)
@@ -263,12 +269,16 @@ class Model:
         return sigmoid(self.scale * np.array(out) + self.shift)
 
 
-def train(samples: list[tuple[list[list[str]], int]], seed: int = SEED) -> Model:
-    """samples: for each text its windows (lists of words) and its label."""
+def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None, seed: int = SEED) -> Model:
+    """samples: for each text its windows (lists of words) and its label. prior: the share of label 1 where the sample's is not it."""
     labels = np.array([y for _, y in samples])
     if len(samples) == 0 or labels.min() == labels.max():
         return Model(None, {}, prior=float(labels.mean()) if len(samples) else 0.0)
     rng = np.random.default_rng(seed)
+    prior = float(labels.mean()) if prior is None else prior
+    aside = rng.permutation(len(samples)) % ASIDE == 0
+    if min((labels[aside] == y).sum() for y in (0, 1)) < 8:
+        aside[:] = False
     count: dict[str, int] = {}
     for wins, _ in samples:
         for t in {t.strip(PUNCTUATION) for w in wins for t in w}:
@@ -278,7 +288,7 @@ def train(samples: list[tuple[list[list[str]], int]], seed: int = SEED) -> Model
     words = Words(vocabulary)
     ids, of, y = [], [], []
     for k, (wins, label) in enumerate(samples):
-        for w in wins:
+        for w in [] if aside[k] else wins:
             row = np.zeros(WINDOW, np.int32)
             row[: len(w)] = words.rows(w)
             ids.append(row), of.append(k), y.append(label)
@@ -308,7 +318,7 @@ def train(samples: list[tuple[list[list[str]], int]], seed: int = SEED) -> Model
         gates = gates_of(p, p["word"][word], means(p["char"], flat, begin))
         return np.concatenate([forward(p, gates, ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)])
 
-    for epoch in range(6):
+    for epoch in range(ROUNDS):
         if epoch == 0:
             rows = np.arange(len(ids))
         else:
@@ -318,29 +328,38 @@ def train(samples: list[tuple[list[list[str]], int]], seed: int = SEED) -> Model
             rank = np.empty(len(order), np.int64)
             first = np.flatnonzero(np.diff(of[order], prepend=-1))
             rank[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            per_text = np.bincount(of)[of]
+            per_text = np.bincount(of)[of]  # of: the text of each window
             top = np.maximum(1, per_text // 8)
             best = np.full(len(samples), -np.inf)
             np.maximum.at(best, of, logit)
             # labels hold errors: toxic texts in which nothing looks toxic by now are left out
-            doubted = (labels > 0) & (best < 0) if epoch > 1 else labels < 0
-            if doubted[labels > 0].mean() > DOUBTED:
-                doubted = (labels > 0) & (best < np.quantile(best[labels > 0], DOUBTED))
+            shown = (labels > 0) & ~aside
+            doubted = shown & (best < 0) if epoch > 1 else labels < 0
+            if doubted[shown].mean() > DOUBTED:
+                doubted = shown & (best < np.quantile(best[shown], DOUBTED))
             rows = np.flatnonzero(np.where(y > 0, (rank < top) & ~doubted[of], (rank < 2) | (rng.random(len(y)) < 0.1)))
-        rng.shuffle(rows)
         positive = float(y[rows].mean())
-        for i in range(0, len(rows), 256):
-            batch(rows[i : i + 256], positive)
-        adam.rate *= 0.8
-    best = np.full(len(samples), -np.inf)
-    np.maximum.at(best, of, all_logits())
-    # one line from the best window's logit to the label, with equal weight for both labels
+        for _ in range(max(1, -(-STEPS * BATCH // len(rows)))):
+            rng.shuffle(rows)
+            for i in range(0, len(rows), BATCH):
+                batch(rows[i : i + BATCH], positive)
+        adam.rate *= 0.75
+    model = Model(p, vocabulary)
+    # one line from the best window's logit to the label, on texts kept from the fit where there are enough
+    judged = [k for k in range(len(samples)) if aside[k]]
+    if min((labels[judged] == y).sum() for y in (0, 1)) < 8:
+        judged = list(range(len(samples)))
+    best = np.clip([float(x.max()) for k in judged for x in [model.logits_of(samples[k][0])]], -20, 20)
+    labels = labels[judged]
+    w = np.where(labels > 0, prior / labels.mean(), (1 - prior) / (1 - labels.mean())) / len(labels)
     scale, shift = 1.0, 0.0
-    w = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
-    best = np.clip(best, -30, 30)
-    for _ in range(500):
-        e = w * (sigmoid(scale * best + shift) - labels)
-        scale, shift = max(0.05, scale - 0.3 * float((e * best).sum() / max(1.0, np.abs(best).mean()))), shift - 0.3 * float(e.sum())
+    for _ in range(300):  # Newton's method, slightly held to (1, 0)
+        q = sigmoid(scale * best + shift)
+        e, c = w * (q - labels), w * q * (1 - q)
+        g = np.array([(e * best).sum() + 1e-3 * (scale - 1), e.sum() + 1e-4 * shift])
+        hess = np.array([[(c * best * best).sum() + 1e-3, (c * best).sum()], [(c * best).sum(), c.sum() + 1e-4]])
+        step = 0.5 * np.linalg.solve(hess, g)
+        scale, shift = float(np.clip(scale - step[0], 0.05, 4)), float(np.clip(shift - step[1], -40, 40))
     return Model(p, vocabulary, scale, shift)
 
 
@@ -374,8 +393,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
+    """Trains on the texts of docs that labels (id, toxic) names; scores are calibrated to the share of toxic labels."""
     ship(docs.sparkSession)
-    return train(training_sample(docs, labels, **sample))
+    known = labels.where(F.col("toxic").isin(0, 1))
+    return train(training_sample(docs, labels, **sample), known.select(F.avg("toxic")).first()[0])
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
