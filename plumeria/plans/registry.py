@@ -1,6 +1,334 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts.
+
+Frames are the ``embeddings`` (8 x 8 pixels, grouped by label), times are the ``events``. Frames of
+label 0 stand for darks and those of label 1 for flats. Floats are rounded, so that the order of
+additions does not show.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumeria.operators import calibration, detection, registration, resample, stacking, timeline
+from plumeria.sources import frames
+from plumeria.streaming import live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The frames as pixel rows, for the DuckDB side.
+PIXELS = """px AS (SELECT vec_id AS frame_id, label AS group_id, ((i - 1) % 8)::INT AS x, ((i - 1) // 8)::INT AS y, embedding[i]::DOUBLE AS v
+FROM embeddings, range(1, 65) t(i))"""
+
+
+def query(sql: str | None = None, pixels: bool = True):
+    """Registers a function of (spark, sf_dir), or of pixel rows, under its name."""
+
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = (lambda spark, sf_dir: f(frames.embedding_pixels(spark, sf_dir))) if pixels else f
+        if sql is not None:
+            ORACLE_SQL[name] = (f"WITH {PIXELS}{', ' if not sql.lstrip().startswith('SELECT') else ' '}{sql}") if pixels else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; minus zero as zero."""
+    return df.select(*(((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes))
+
+
+@query("SELECT group_id, x, y, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM px GROUP BY ALL")
+def p01_basic_stack(px):
+    return rounded(stacking.basic_stack(px))
+
+
+@query("""c1 AS (SELECT *, avg(v) OVER c AS m, stddev_pop(v) OVER c AS s FROM px WINDOW c AS (PARTITION BY group_id, x, y)),
+c2 AS (SELECT frame_id, group_id, x, y, v, avg(v) OVER c AS m, stddev_pop(v) OVER c AS s FROM c1 WHERE abs(v - m) <= 2::DOUBLE * s WINDOW c AS (PARTITION BY group_id, x, y))
+SELECT group_id, x, y, round(avg(v), 6) AS value, count(*) AS n FROM c2 WHERE abs(v - m) <= 2::DOUBLE * s GROUP BY ALL""")
+def p02_sigma_clip_stack(px):
+    return rounded(stacking.sigma_clip_stack(px, 2.0, 2))
+
+
+@query()
+def p03_sigma_clip_converged(px):
+    return rounded(stacking.sigma_clip_converged(px, 2.0))
+
+
+@query("""r AS (SELECT *, row_number() OVER (PARTITION BY group_id, x, y ORDER BY v, frame_id) AS up, count(*) OVER (PARTITION BY group_id, x, y) AS k FROM px)
+SELECT group_id, x, y, round(avg(v), 6) AS value, count(*) AS n FROM r WHERE up > 1 AND up <= k - 1 GROUP BY ALL""")
+def p04_minmax_reject_stack(px):
+    return rounded(stacking.minmax_reject_stack(px, 1, 1))
+
+
+QUANTILES = "q AS (SELECT group_id, x, y, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM px GROUP BY ALL)"
+
+
+@query(f"{QUANTILES} SELECT group_id, x, y, round(avg(greatest(lo, least(hi, v))), 6) AS value, count(*) AS n FROM px JOIN q USING (group_id, x, y) GROUP BY ALL")
+def p05_winsorised_stack(px):
+    return rounded(stacking.winsorised_stack(px))
+
+
+MAD = """d AS (SELECT group_id, x, y, median(v) AS med FROM px GROUP BY ALL),
+m AS (SELECT group_id, x, y, any_value(med) AS med, median(abs(v - med)) AS mad FROM px JOIN d USING (group_id, x, y) GROUP BY ALL)"""
+
+
+@query(f"{MAD} SELECT group_id, x, y, round(med, 6) AS median, round(mad, 6) AS mad FROM m")
+def p06_median_absolute_deviation(px):
+    return rounded(stacking.median_absolute_deviation(px))
+
+
+@query(f"{MAD} SELECT group_id, x, y, round(avg(v), 6) AS value, count(*) AS n FROM px JOIN m USING (group_id, x, y) WHERE abs(v - med) <= 3::DOUBLE * 1.4826::DOUBLE * mad GROUP BY ALL")
+def p07_mad_clip_stack(px):
+    return rounded(stacking.mad_clip_stack(px))
+
+
+@query(f"{QUANTILES} SELECT group_id, x, y, round(avg(v), 6) AS value, count(*) AS n FROM px JOIN q USING (group_id, x, y) WHERE v BETWEEN lo AND hi GROUP BY ALL")
+def p08_percentile_clip_stack(px):
+    return rounded(stacking.percentile_clip_stack(px))
+
+
+LEVELS = "l AS (SELECT group_id, frame_id, median(v) AS level, stddev_pop(v) AS spread FROM px GROUP BY ALL)"
+
+
+@query(f"{LEVELS} SELECT group_id, x, y, round(sum((v - level) / (spread * spread)) / sum(1 / (spread * spread)), 6) AS value, round(sum(1 / (spread * spread)), 4) AS weight FROM px JOIN l USING (group_id, frame_id) GROUP BY ALL")
+def p09_weighted_stack(px):
+    s = stacking.weighted_stack(px)
+    return rounded(s.withColumn("weight", F.round("weight", 4)))
+
+
+@query(f"""{LEVELS}, r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY spread, frame_id) AS k, count(*) OVER (PARTITION BY group_id) AS n FROM l)
+SELECT px.group_id, x, y, round(avg(v), 6) AS value, count(*) AS n FROM px JOIN r USING (group_id, frame_id) WHERE k <= ceil(r.n * 0.5) GROUP BY ALL""")
+def p10_selected_stack(px):
+    return rounded(stacking.selected_stack(px, 0.5))
+
+
+def _kinds(px):
+    """(darks, flats, lights)"""
+    g = F.col("group_id")
+    return px.where(g == 0), px.where(g == 1), px.where(g > 1)
+
+
+DARK = "dark AS (SELECT x, y, avg(v) AS d FROM px WHERE group_id = 0 GROUP BY ALL)"
+
+
+@query(f"{DARK} SELECT frame_id, round(avg(v - d), 6) AS mean, round(min(v - d), 6) AS min, round(max(v - d), 6) AS max FROM px JOIN dark USING (x, y) WHERE group_id > 0 GROUP BY ALL")
+def p11_subtract_master(px):
+    dark, flat, light = _kinds(px)
+    done = calibration.subtract_master(px.where("group_id > 0"), calibration.master(dark))
+    return rounded(done.groupBy("frame_id").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")))
+
+
+@query(f"""{DARK}, flat AS (SELECT x, y, avg(v - d) AS f FROM px JOIN dark USING (x, y) WHERE group_id = 1 GROUP BY ALL),
+level AS (SELECT avg(f) AS l FROM flat)
+SELECT frame_id, round(median((v - d) * l / nullif(f, 0)), 5) AS median, count(*) AS n FROM px JOIN dark USING (x, y) JOIN flat USING (x, y), level WHERE group_id > 1 GROUP BY ALL""")
+def p12_divide_flat(px):
+    dark, flat, light = _kinds(px)
+    bias = calibration.master(dark)
+    done = calibration.divide_flat(calibration.subtract_master(light, bias), calibration.master(calibration.subtract_master(flat, bias)))
+    return rounded(done.groupBy("frame_id").agg(F.median("v").alias("median"), F.count("*").alias("n")), 5)
+
+
+@query("""t AS (SELECT frame_id, group_id, sum(floor(v * 65536)::BIGINT)::BIGINT AS t FROM px GROUP BY ALL),
+p AS (SELECT a.frame_id, b.frame_id AS master_id, abs(a.t - b.t) AS distance FROM t a, t b WHERE a.group_id > 0 AND b.group_id = 0)
+SELECT frame_id, arg_min(master_id, (distance, master_id)) AS master_id, min(distance) AS distance FROM p GROUP BY ALL""")
+def p13_nearest_master(px):
+    t = px.groupBy("frame_id", "group_id").agg(F.sum(F.floor(F.col("v") * 65536)).alias("t"))
+    masters = t.where("group_id = 0").select(F.col("frame_id").alias("master_id"), "t")
+    return calibration.nearest_by_scalar(t.where("group_id > 0"), masters, "frame_id", "master_id", "t", 16)
+
+
+@query("SELECT frame_id, (x // 4)::INT AS tx, (y // 4)::INT AS ty, round(median(v), 6) AS background FROM px GROUP BY ALL")
+def p14_tile_background(px):
+    return rounded(calibration.tile_background(px, 4))
+
+
+NEAR = "o AS (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(dx, dy))"
+
+
+@query(f"""{NEAR}, n AS (SELECT frame_id, x + dx AS x, y + dy AS y, median(v) AS med FROM px, o GROUP BY ALL),
+s AS (SELECT frame_id, stddev_pop(v) AS s FROM px GROUP BY ALL)
+SELECT frame_id, x, y, round(v, 6) AS v, round(med, 6) AS repaired FROM px JOIN n USING (frame_id, x, y) JOIN s USING (frame_id) WHERE abs(v - med) > 3 * s""")
+def p15_hot_cells(px):
+    return rounded(calibration.hot_cells(px, 3.0))
+
+
+@query("""s AS (SELECT frame_id, (y * 8 + x)::INT AS pos, v, lag(v) OVER w AS a, lead(v) OVER w AS b FROM px WINDOW w AS (PARTITION BY frame_id ORDER BY y * 8 + x))
+SELECT frame_id, pos, round(v, 6) AS v FROM s WHERE v > 0.1::DOUBLE AND v > a AND v > b""")
+def p16_local_maxima_1d(px):
+    return rounded(detection.local_maxima_1d(px, 8, 0.1))
+
+
+@query(f"""{NEAR}, n AS (SELECT frame_id, x + dx AS x, y + dy AS y, max(v) AS m FROM px, o GROUP BY ALL)
+SELECT frame_id, group_id, x, y, round(v, 6) AS v FROM px JOIN n USING (frame_id, x, y) WHERE v > 0.1::DOUBLE AND v > m""")
+def p17_local_maxima_2d(px):
+    return rounded(detection.local_maxima_2d(px, 0.1))
+
+
+@query(f"""{NEAR}, b AS (SELECT frame_id, x, y, y * 8 + x AS c FROM px WHERE v > 0.15::DOUBLE),
+e AS (SELECT frame_id, b.c AS a, d.c AS b FROM b JOIN (SELECT frame_id, x + dx AS x, y + dy AS y, c FROM b, o) d USING (frame_id, x, y)),
+reach AS (SELECT frame_id, c AS a, c AS b FROM b UNION SELECT r.frame_id, r.a, e.b FROM reach r JOIN e ON e.frame_id = r.frame_id AND e.a = r.b)
+SELECT r.frame_id, (r.a % 8)::INT AS x, (r.a // 8)::INT AS y, min(r.b)::INT AS source FROM reach r GROUP BY r.frame_id, r.a""")
+def p18_segments(px):
+    return detection.segments(px, 8, 8, 0.15)
+
+
+ORACLE_SQL["p18_segments"] = ORACLE_SQL["p18_segments"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("""s AS (SELECT frame_id, sum(v * v) AS f, sum(v * v * x) AS sx, sum(v * v * y) AS sy, sum(v * v * (x * x + y * y)) AS s2 FROM px GROUP BY ALL)
+SELECT frame_id, round(f, 6) AS flux, round(sx / f, 6) AS cx, round(sy / f, 6) AS cy, round(s2 / f - (sx / f) * (sx / f) - (sy / f) * (sy / f), 6) AS m2 FROM s""")
+def p19_source_moments(px):
+    return rounded(detection.source_moments(px.withColumn("v", F.col("v") * F.col("v")), ["frame_id"]))
+
+
+@query(f"""{NEAR}, n AS (SELECT frame_id, x + dx AS x, y + dy AS y, max(v) AS m FROM px, o GROUP BY ALL),
+k AS (SELECT frame_id, x AS kx, y AS ky FROM px JOIN n USING (frame_id, x, y) WHERE v > 0.1::DOUBLE AND v > m),
+c AS (SELECT k.frame_id, kx, ky, x, y, greatest(v, 0::DOUBLE) AS v FROM k JOIN px ON px.frame_id = k.frame_id AND abs(x - kx) <= 1 AND abs(y - ky) <= 1),
+s AS (SELECT frame_id, kx, ky, sum(v) AS f, sum(v * x) AS sx, sum(v * y) AS sy, sum(v * (x * x + y * y)) AS s2 FROM c GROUP BY ALL)
+SELECT frame_id, count(*) AS sources, round(avg(2.354820045::DOUBLE * sqrt(greatest((s2 / f - (sx / f) * (sx / f) - (sy / f) * (sy / f)) / 2, 0::DOUBLE))), 6) AS fwhm FROM s GROUP BY ALL""")
+def p20_frame_quality(px):
+    return rounded(detection.frame_quality(px, 0.1))
+
+
+CATALOGUE = "c AS (SELECT frame_id AS id, group_id, max(v) FILTER (WHERE x = 0 AND y = 0) AS cx, max(v) FILTER (WHERE x = 1 AND y = 0) AS cy FROM px GROUP BY ALL)"
+
+
+@query(f"""{CATALOGUE} SELECT a.id AS a_id, b.id AS b_id, round((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy), 8) AS d2
+FROM c a JOIN c b ON a.group_id < 5 AND b.group_id >= 5 WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 0.02::DOUBLE * 0.02::DOUBLE""")
+def p21_cross_match(px):
+    at = lambda x: F.max(F.when((F.col("x") == x) & (F.col("y") == 0), F.col("v")))
+    c = px.groupBy(F.col("frame_id").alias("id"), "group_id").agg(at(0).alias("cx"), at(1).alias("cy"))
+    return rounded(registration.cross_match(c.where("group_id < 5"), c.where("group_id >= 5"), 0.02), 8)
+
+
+STARS = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x) AS k FROM px) WHERE k <= 6)"
+
+
+@query(f"""{STARS}, t AS (SELECT a.group_id, a.frame_id, list_sort([(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), (a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y), (b.x-c.x)*(b.x-c.x)+(b.y-c.y)*(b.y-c.y)]) AS d
+FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.k < b.k JOIN s c ON b.frame_id = c.frame_id AND b.k < c.k),
+q AS (SELECT group_id, frame_id, d[1] * 20 // d[3] AS q1, d[2] * 20 // d[3] AS q2 FROM t),
+f AS (SELECT group_id, min(frame_id) AS frame_id FROM px GROUP BY ALL)
+SELECT q.group_id, q.frame_id, count(*)::BIGINT AS votes FROM q JOIN f ON q.group_id = f.group_id AND q.frame_id <> f.frame_id
+JOIN q r ON r.frame_id = f.frame_id AND r.q1 = q.q1 AND r.q2 = q.q2 GROUP BY ALL""")
+def p22_triangle_votes(px):
+    return registration.triangle_votes(registration.brightest(px, 6), 20)
+
+
+@query(f"""{STARS}, f AS (SELECT group_id, min(frame_id) AS frame_id FROM px GROUP BY ALL),
+r AS (SELECT s.group_id, k, x AS u, y AS w FROM s JOIN f USING (group_id, frame_id)),
+p AS (SELECT s.frame_id, x::DOUBLE AS x, y::DOUBLE AS y, u::DOUBLE AS u, w::DOUBLE AS w FROM s JOIN r USING (group_id, k)),
+z AS (SELECT frame_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(w) AS sw, sum(x*x+y*y) AS sq, sum(x*u+y*w) AS dt, sum(x*w-y*u) AS cr FROM p GROUP BY ALL),
+ab AS (SELECT *, (dt - (sx*su+sy*sw)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS a, (cr - (sx*sw-sy*su)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS b FROM z)
+SELECT frame_id, round(a, 6) AS a, round(b, 6) AS b, round((su - a*sx + b*sy)/n, 6) AS tx, round((sw - b*sx - a*sy)/n, 6) AS ty FROM ab""")
+def p23_similarity_transform(px):
+    return rounded(registration.similarity_transform(registration.rank_pairs(registration.brightest(px, 6))))
+
+
+def _drift(px):
+    """A small transform for each frame, from its own brightness: quarter steps, exact in binary."""
+    level = F.floor(F.abs(F.avg("v")) * 1024)
+    return px.groupBy("frame_id").agg(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (F.pmod(level, F.lit(4)) / 4).alias("tx"), (F.pmod(level, F.lit(3)) / 2).alias("ty"))
+
+
+DRIFT = """l AS (SELECT frame_id, floor(abs(avg(v)) * 1024)::BIGINT AS l FROM px GROUP BY ALL),
+m AS (SELECT group_id, v, x + (l % 4) / 4::DOUBLE AS u, y + (l % 3) / 2::DOUBLE AS w FROM px JOIN l USING (frame_id)),
+d AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(di, dj)),
+p AS (SELECT group_id, v, floor(u)::BIGINT + di AS x, floor(w)::BIGINT + dj AS y,
+(CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS c FROM m, d),
+s AS (SELECT group_id, x, y, sum(v * c) / sum(c) AS value, sum(c) AS coverage FROM p WHERE c > 0 GROUP BY ALL)"""
+
+
+@query(f"{DRIFT} SELECT group_id, x, y, round(value, 6) AS value, round(coverage, 6) AS coverage FROM s")
+def p24_bilinear_resample(px):
+    return rounded(resample.bilinear_resample(px, _drift(px)))
+
+
+@query("""m AS (SELECT group_id, x, y, avg(v) AS m FROM px GROUP BY ALL)
+SELECT frame_id, round(regr_slope(v, m), 5) AS slope, round(regr_intercept(v, m), 5) AS intercept, round(corr(v, m), 5) AS r FROM px JOIN m USING (group_id, x, y) GROUP BY ALL""")
+def p25_photometric_scale(px):
+    return rounded(registration.photometric_scale(px), 5)
+
+
+@query(f"{DRIFT} SELECT x + 4 * group_id AS x, y + 2 * group_id AS y, round(sum(value * coverage) / sum(coverage), 6) AS value, round(sum(coverage), 6) AS weight FROM s GROUP BY 1, 2")
+def p26_mosaic(px):
+    stacks = resample.bilinear_resample(px, _drift(px)).withColumnRenamed("coverage", "weight")
+    offsets = px.select("group_id").distinct().select("group_id", (F.col("group_id") * 4).alias("dx"), (F.col("group_id") * 2).alias("dy"))
+    return rounded(resample.mosaic(stacks, offsets))
+
+
+@query("""b AS (SELECT CASE WHEN v < -0.5 THEN 0 WHEN v >= 0.5 THEN 65 ELSE floor((v + 0.5) * 64)::INT + 1 END AS bucket, asinh(v / 0.05::DOUBLE) / asinh(1 / 0.05::DOUBLE) AS s FROM px)
+SELECT bucket::INT AS bucket, count(*) AS n, round(avg(s), 6) AS stretched FROM b GROUP BY ALL""")
+def p27_histogram_stretch(px):
+    n = resample.histogram(px, -0.5, 0.5, 64)
+    bucket = F.width_bucket("v", F.lit(-0.5), F.lit(0.5), F.lit(64)).cast("int")
+    means = px.groupBy(bucket.alias("bucket")).agg(F.avg(resample.asinh_stretch(F.col("v"), 0.05)).alias("stretched"))
+    return rounded(n.join(means, "bucket"))
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM s GROUP BY user_id, k""",
+    pixels=False,
+)
+def p28_capture_sessions(spark, sf_dir):
+    e = frames.events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    s = timeline.capture_sessions(e, "user_id", "10 minutes", "cents")
+    return s.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", F.col("total").alias("cents"))
+
+
+@query(
+    """WITH m AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click_id FROM events)
+SELECT event_id, user_id, click_id FROM m WHERE event_type = 'purchase'""",
+    pixels=False,
+)
+def p29_as_of(spark, sf_dir):
+    kind = F.col("event_type")
+    found = timeline.as_of(frames.events(spark, sf_dir), "user_id", kind == "click", kind == "purchase")
+    return found.select("event_id", "user_id", F.col("match.event_id").alias("click_id"))
+
+
+@query(
+    "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS stddev, min(value) AS min, max(value) AS max FROM events GROUP BY ALL",
+    pixels=False,
+)
+def p30_live_running(spark, sf_dir):
+    stream = live.arriving(spark, sf_dir, "events")
+    out = live.drained(live.running_stack(stream, ["event_type"]), "running", "complete")
+    return out.select("event_type", "n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min", "max")
+
+
+CENTS = "sum(round(value * 100)::BIGINT)::BIGINT AS cents"
+
+
+def _cents(spark, sf_dir):
+    return live.arriving(spark, sf_dir, "events").withColumn("value", F.round(F.col("value") * 100).cast("long"))
+
+
+@query(
+    f"""WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, {CENTS} FROM events GROUP BY ALL)
+SELECT epoch_us(h) AS started, event_type, n, cents FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    pixels=False,
+)
+def p30_live_windows(spark, sf_dir):
+    """Hours that the watermark has passed, with an hour's patience."""
+    out = live.drained(live.window_stack(_cents(spark, sf_dir), ["event_type"]), "windows")
+    return out.select(F.unix_micros("started").alias("started"), "event_type", "n", F.col("total").alias("cents"))
+
+
+@query(
+    f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+w AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS n, {CENTS} FROM s GROUP BY user_id, k)
+SELECT epoch_us(started) AS started, epoch_us(ended) AS ended, user_id, n, cents FROM w WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    pixels=False,
+)
+def p30_live_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed."""
+    out = live.drained(live.session_stack(_cents(spark, sf_dir), "user_id"), "sessions")
+    return out.select(F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "user_id", "n", F.col("total").alias("cents"))
