@@ -1,9 +1,11 @@
 """Every registered query against its DuckDB counterpart, all rows and values."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,8 +21,9 @@ def duck(sf_dir):
 
 
 def rows(df):
-    df = df[sorted(df.columns)]
-    return sorted((tuple(None if x != x or x is None else float(x) if isinstance(x, (int, float)) or hasattr(x, "item") else x for x in r) for r in df.itertuples(index=False)), key=repr)
+    df = df[sorted(df.columns)].astype(object)
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, numbers.Number) else x
+    return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
