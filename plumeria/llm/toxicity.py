@@ -12,7 +12,7 @@ each text. The label belongs to the text, not the window: after a pass in which
 its text's label, positives are the best windows of toxic texts under the model so far, and
 negatives the best and some other windows of clean texts. Labels hold errors, so toxic texts in
 which no window scores above half after two passes are set aside, up to a share. Labels, language, source and id are not
-inputs. The sample and the weights (about 1 MB, broadcast) are bounded by these parameters.
+inputs. The sample and the weights (about 2 MB, broadcast) are bounded by these parameters.
 
 Scoring is a map over all rows: whole texts, no shuffle. What a word adds to the gates is
 computed once for each distinct word and kept in a bounded memo.
@@ -35,12 +35,14 @@ from plumeria.llm.common import ship
 
 WINDOW, STRIDE = 24, 16
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
-VOCABULARY, MIN_COUNT, BUCKETS = 20_000, 4, 4096
+VOCABULARY, MIN_COUNT, BUCKETS = 20_000, 4, 16_384
 PER_CLASS, WINDOWS, SEED = 1200, 40, 7
 #: The largest share of toxic labels that training may set aside as errors.
 DOUBTED = 0.25
-#: Rounds of training, steps in each (at least), windows in a step; one text in ASIDE is kept for calibration.
-ROUNDS, STEPS, BATCH, ASIDE = 6, 60, 256, 5
+#: Rounds of training, steps in each (unless they take more passes than the most), windows in a step; one text in ASIDE is kept for calibration.
+ROUNDS, STEPS, MOST_PASSES, BATCH, ASIDE = 6, 100, 8, 96, 5
+#: What a step takes off the vectors of words and n-grams, so that rare ones don't learn single texts by heart.
+DECAY = 5e-3
 #: Windows scored at once; distinct words kept by a worker.
 CHUNK, MEMO_WORDS = 4096, 300_000
 PUNCTUATION = ".,;:!?'\"()[]{}|*#$%&-_<>"
@@ -51,9 +53,9 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def grams(token: str) -> list[int]:
-    """Hashed character 3- and 4-grams of a word, with its ends marked."""
-    s = f"^{token.strip(PUNCTUATION)[:64]}$".encode()
-    return [crc32(s[i : i + n]) % BUCKETS for n in (3, 4) for i in range(max(1, len(s) - n + 1))]
+    """Hashed character 3-, 4- and 5-grams of a word, with its ends marked."""
+    s = f"^{token.strip(PUNCTUATION)[:64]}$"
+    return [crc32(s[i : i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(max(1, len(s) - n + 1))]
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
@@ -215,6 +217,8 @@ class Adam:
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.001 * (x * x - self.v[k])
             self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+            if k in ("word", "char"):
+                self.p[k] *= 1 - DECAY
 
 
 class Model:
@@ -339,7 +343,7 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
                 doubted = shown & (best < np.quantile(best[shown], DOUBTED))
             rows = np.flatnonzero(np.where(y > 0, (rank < top) & ~doubted[of], (rank < 2) | (rng.random(len(y)) < 0.1)))
         positive = float(y[rows].mean())
-        for _ in range(max(1, -(-STEPS * BATCH // len(rows)))):
+        for _ in range(min(MOST_PASSES, max(1, -(-STEPS * BATCH // len(rows))))):
             rng.shuffle(rows)
             for i in range(0, len(rows), BATCH):
                 batch(rows[i : i + BATCH], positive)
@@ -352,14 +356,13 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
     best = np.clip([float(x.max()) for k in judged for x in [model.logits_of(samples[k][0])]], -20, 20)
     labels = labels[judged]
     w = np.where(labels > 0, prior / labels.mean(), (1 - prior) / (1 - labels.mean())) / len(labels)
-    scale, shift = 1.0, 0.0
-    for _ in range(300):  # Newton's method, slightly held to (1, 0)
-        q = sigmoid(scale * best + shift)
-        e, c = w * (q - labels), w * q * (1 - q)
-        g = np.array([(e * best).sum() + 1e-3 * (scale - 1), e.sum() + 1e-4 * shift])
-        hess = np.array([[(c * best * best).sum() + 1e-3, (c * best).sum()], [(c * best).sum(), c.sum() + 1e-4]])
-        step = 0.5 * np.linalg.solve(hess, g)
-        scale, shift = float(np.clip(scale - step[0], 0.05, 4)), float(np.clip(shift - step[1], -40, 40))
+    middle, wide = best.mean(), best.std() + 1e-6
+    z, scale, shift = (best - middle) / wide, 1.0, 0.0
+    for _ in range(1500):
+        e = w * (sigmoid(scale * z + shift) - labels)
+        scale, shift = scale - float((e * z).sum() + 1e-3 * scale), shift - float(e.sum())
+    scale = max(0.05, scale) / wide
+    shift -= scale * middle
     return Model(p, vocabulary, scale, shift)
 
 
