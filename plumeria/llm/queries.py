@@ -86,4 +86,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_tries": op10_simhash_tries,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _quoted(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def quality_sql() -> str:
+    """The quality rules in DuckDB SQL: counts, references and distances with the same definitions."""
+    q = quality_divergence
+    words = q.vocabulary()
+    n = len(words) + 1
+    space = "[\\x20\\x09-\\x0D]+"
+    mean = lambda name, k: "[" + ", ".join(f"avg({name}[{i + 1}])" for i in range(k)) + "]"
+    side = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    dist = lambda a, b, k: "sqrt(greatest(0, (" + " + ".join(f"{side(f'{a}[{i}]', f'{b}[{i}]')} + {side(f'{b}[{i}]', f'{a}[{i}]')}" for i in range(1, k + 1)) + ") / 2))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') AS ws, regexp_replace(t, '[\\p{{Ll}}\\x20\\x09-\\x0D]+', '', 'g') AS rest,
+list_transform(ws, lambda x: lower(x)) AS lw, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS r, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS c FROM w, range(1, len(ws) - 1) x(i)),
+p AS (SELECT k, count(DISTINCT i + o) AS n_repeat_words FROM g, range(0, 3) y(o) WHERE c > 1 GROUP BY k),
+v AS (SELECT k, [{", ".join(f"len(list_filter(lw, lambda x: x = {_quoted([x])}))" for x in words)}] AS vs FROM w),
+f AS (SELECT k, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(rest) AS r, length(rest) - length(regexp_replace(rest, '\\p{{Lu}}+', '', 'g')) AS u,
+length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')) AS n, length(rest) - length(regexp_replace(rest, '[.,;:!?''"()-]+', '', 'g')) AS q, vs FROM w JOIN v USING (k) LEFT JOIN p USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars >= {q.MIN_CHARS} AS long_c, n_words >= {q.MIN_WORDS} AS long_w,
+list_transform([word_chars - r, u, n, q, r - u - n - q], lambda x: x::DOUBLE / word_chars) AS c, list_transform(list_append(vs, n_words - list_sum(vs)::BIGINT), lambda x: x::DOUBLE / n_words) AS w FROM f),
+m AS (SELECT lang, {mean("c", 5)} AS mc, {mean("w", n)} AS mw FROM b WHERE lang IN ({_quoted(q.LANGUAGES)}) AND NOT base_failed AND long_c AND long_w GROUP BY lang),
+e AS (SELECT k, min(CASE WHEN long_c THEN {dist("c", "mc", 5)} END) AS dc, min(CASE WHEN long_w THEN {dist("w", "mw", n)} END) AS dw FROM b, m WHERE long_c OR long_w GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+NOT base_failed AND NOT (coalesce(dc, 0) > {q.MAX_CHAR_DISTANCE} OR coalesce(dw, 0) > {q.MAX_WORD_DISTANCE}) AS kept, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance FROM b LEFT JOIN e USING (k)"""
+
+
+def warc_sql() -> str:
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {zip_warc.MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= {zip_warc.MIN_REVISIT} AND page_id <> first THEN first END AS refers_to FROM f"""
+
+
+def url_sql() -> str:
+    """Every rule tried on every URL."""
+    rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
+    values = ", ".join(f"({_quoted([r.name])}, {_quoted([r.verdict])}, {_quoted([r.regex])}, {r.layer}, {r.rank})" for r in rules)
+    return f"""WITH r AS (SELECT * FROM (VALUES {values}) t(name, verdict, regex, layer, rank)),
+s AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT k, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*[^?#]*([?][^#]*)', 1) AS query FROM s),
+m AS (SELECT k, arg_min((layer, verdict, name), (-layer, -rank, verdict, name)) AS best FROM u, r WHERE regexp_matches(host || path || query, regex) GROUP BY k)
+SELECT page_id, host, path, CASE WHEN best[1] = 1 THEN best[3] END AS rule, coalesce(best[2], 'allow') AS verdict, CASE WHEN best[1] = 0 THEN best[3] END AS pattern FROM u LEFT JOIN m USING (k)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_divergence": quality_sql(),
+    "op4_zip_warc": warc_sql(),
+    "op8_url_rules": url_sql(),
+}
