@@ -100,7 +100,7 @@ def quality_sql() -> str:
     side = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
     dist = lambda a, b, k: "sqrt(greatest(0, (" + " + ".join(f"{side(f'{a}[{i}]', f'{b}[{i}]')} + {side(f'{b}[{i}]', f'{a}[{i}]')}" for i in range(1, k + 1)) + ") / 2))"
     return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') AS ws, regexp_replace(t, '[\\p{{Ll}}\\x20\\x09-\\x0D]+', '', 'g') AS rest,
+w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') AS ws, regexp_replace(t, '[\\p{{Ll}}\\x20\\x09-\\x0D]+', '', 'g') AS rest,
 list_transform(ws, lambda x: lower(x)) AS lw, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS r, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS c FROM w, range(1, len(ws) - 1) x(i)),
 p AS (SELECT k, count(DISTINCT i + o) AS n_repeat_words FROM g, range(0, 3) y(o) WHERE c > 1 GROUP BY k),
@@ -108,7 +108,7 @@ v AS (SELECT k, [{", ".join(f"len(list_filter(lw, lambda x: x = {_quoted([x])}))
 f AS (SELECT k, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
 len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(rest) AS r, length(rest) - length(regexp_replace(rest, '\\p{{Lu}}+', '', 'g')) AS u,
 length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')) AS n, length(rest) - length(regexp_replace(rest, '[.,;:!?''"()-]+', '', 'g')) AS q, vs FROM w JOIN v USING (k) LEFT JOIN p USING (k)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars >= {q.MIN_CHARS} AS long_c, n_words >= {q.MIN_WORDS} AS long_w,
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars >= {q.MIN_CHARS} AS long_c, n_words >= {q.MIN_WORDS} AS long_w,
 list_transform([word_chars - r, u, n, q, r - u - n - q], lambda x: x::DOUBLE / word_chars) AS c, list_transform(list_append(vs, n_words - list_sum(vs)::BIGINT), lambda x: x::DOUBLE / n_words) AS w FROM f),
 m AS (SELECT lang, {mean("c", 5)} AS mc, {mean("w", n)} AS mw FROM b WHERE lang IN ({_quoted(q.LANGUAGES)}) AND NOT base_failed AND long_c AND long_w GROUP BY lang),
 e AS (SELECT k, min(CASE WHEN long_c THEN {dist("c", "mc", 5)} END) AS dc, min(CASE WHEN long_w THEN {dist("w", "mw", n)} END) AS dw FROM b, m WHERE long_c OR long_w GROUP BY k)

@@ -385,7 +385,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
             out.append([" ".join(ts[i * STRIDE : i * STRIDE + WINDOW]) for i in sorted({k * n // windows for k in range(windows)} if n > windows else range(n))])
         return pd.Series(out)
 
-    rows = docs.join(F.broadcast(ids), id_col).select(id_col, "label", some_windows(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", some_windows(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     rows = rows.dropDuplicates([id_col]).collect()
     return [([w.split() for w in r["w"]], int(r["label"])) for r in sorted(rows, key=lambda r: r[id_col])]
 
