@@ -218,7 +218,7 @@ def find_passages(
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item_id is not null")
     total = items.select(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # at most so many words
     blocks = int(total // block_words) + 1
-    schema = f"`{id_col}` long, item_id long, begin int, end int, edits int, similarity double"
+    schema = f"`{id_col}` string, item_id long, begin int, end int, edits int, similarity double"
     found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
@@ -236,9 +236,11 @@ def find_passages(
                         for d, k, b, e, edits in own.matches(group) if own.items else ():
                             out.append((ids[d], own.items[k][0], b, e, edits, 1 - edits / len(own.coded[k])))
                         group, ids, size = [], [], 0
-                yield pd.DataFrame(out, columns=[id_col, "item_id", "begin", "end", "edits", "similarity"]).astype({id_col: "Int64"})
+                yield pd.DataFrame(out, columns=[id_col, "item_id", "begin", "end", "edits", "similarity"])
 
-        part = docs.select(F.col(id_col).cast("long"), text_col).mapInPandas(search, schema)
+        # ids cross to pandas as text, which keeps nulls and all 64 bits
+        part = docs.select(F.col(id_col).cast("string"), text_col).mapInPandas(search, schema)
+        part = part.withColumn(id_col, F.col(id_col).cast("long"))
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -256,6 +256,11 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            ids = ("page_id", "refers_to")  # kept from becoming floats where some are null
+            return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in ids else list(v) for c, v in zip(columns, zip(*rows))})
+
         for pdf in batches:
             for path in pdf["path"]:
                 fs, name = file_system(path)
@@ -270,10 +275,10 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                         rows.append((ids[0], warc.get("warc-target-uri"), int(http["content-length"]), digest, kind, ids[1], payload if kind == "response" else None))
                         size += len(payload)
                         if size > (8 << 20):
-                            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield frame(rows)
                             rows, size = [], 0
                     if rows:
-                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield frame(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(unpack, schema)
