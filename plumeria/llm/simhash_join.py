@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ from plumeria.llm.common import saved, ship
 
 #: Leaves of a trie (or part of one) that a task takes at once, and fingerprints hashed at once.
 LEAVES, HASHES = 1024, 1 << 16
+#: Fingerprints that a call of the join gets on average, at most.
+BIN = 50_000
 #: Node pairs that a walk expands at once; beyond it, it goes depth first over halves.
 FRONTIER = 1 << 12
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -194,9 +197,10 @@ def _forest(fps: np.ndarray, budget: int, side: np.ndarray | None) -> pd.DataFra
 
 def near_links(fps: DataFrame, budget: int = 4, leaves: int = LEAVES, blocks: int | None = None) -> DataFrame:
     """(a, b) fingerprints: forests over distinct fingerprints whose components are those of all links within the budget."""
+    n = fps.count()
     if blocks is None:
         # agree on enough bits that an even trie has at most half the leaves of a task
-        n, blocks = fps.count(), budget + 1
+        blocks = budget + 1
         while n >> (64 * (blocks - budget) // blocks) > leaves // 2 and blocks < budget + 4:
             blocks += 1
     placed = tries(fps, budget, blocks)
@@ -210,8 +214,8 @@ def near_links(fps: DataFrame, budget: int = 4, leaves: int = LEAVES, blocks: in
         lambda o: F.struct(F.least(o, part).alias("i"), F.greatest(o, part).alias("j"), part.alias("part")),
     )
     rows = rows.select("trie", "prefix", "fp", F.explode(tasks).alias("t")).select("trie", "prefix", "t.i", "t.j", "t.part", "fp")
-    # many small tries share a call: the key of a group is a bin of tries, sized by the shuffle
-    bins = 16 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # many small tries share a call: a group is a bin of tries, of some BIN rows at most on average
+    bins = max(16 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * comb(blocks, budget) // BIN)
     rows = rows.withColumn("bin", F.pmod(F.xxhash64("trie", "prefix", "i", "j"), F.lit(bins)))
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +237,6 @@ def components(edges: DataFrame) -> DataFrame:
     minima are written before they are joined, so that both sides of each join come from a scan and
     a hub's rows can be split.
     """
-    spark = edges.sparkSession
     edges = saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

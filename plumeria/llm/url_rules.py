@@ -100,11 +100,13 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, verdict string, regex string, tokens array<string>, layer int, rank int")
 
 
-def token_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """token -> array of the rules whose rarest token it is. urls: a column ``tokens``."""
+def token_index(urls: DataFrame, rules: DataFrame, small: bool = False) -> DataFrame:
+    """token -> array of the rules whose rarest token it is. urls: a column ``tokens``. small: the rules may be broadcast."""
     of_rules = rules.select("name", "layer", F.explode("tokens").alias("token"))
     wanted = of_rules.select("token").distinct()
-    seen = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("token").count()
+    if small:
+        wanted = F.broadcast(wanted)
+    seen = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").count()
     rarest = (
         of_rules.join(seen, "token", "left")
         .groupBy("name", "layer")
@@ -124,8 +126,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     urls = pages.select(id_.alias("id"), url.alias("url"), *(c.alias(k) for k, c in parsed(url).items()))
     urls = urls.withColumn("subject", F.concat("host", "path", "query"))
     urls = urls.withColumn("tokens", F.array_distinct(F.split(ascii_lower(F.col("subject")), "[^a-z0-9]+")))
-    index = token_index(urls, rules_frame(spark, rules))
-    if len(rules) <= BROADCAST_RULES:
+    small = len(rules) <= BROADCAST_RULES
+    index = token_index(urls, rules_frame(spark, rules), small)
+    if small:
         index = F.broadcast(index)
     fits = F.filter("rules", lambda r: F.rlike(F.col("subject"), r["regex"]))
     # min() of (-layer, -rank, verdict, name): the strongest; allow before block among equals
