@@ -29,10 +29,10 @@ def subtract_master(px: DataFrame, dark: DataFrame) -> DataFrame:
 
 def divide_flat(px: DataFrame, flat: DataFrame) -> DataFrame:
     """v over the flat's value relative to its mean; null where the flat is zero or absent."""
-    mean = flat.agg(F.avg("value").alias("level"))  # one row
+    level = flat.agg(F.avg("value")).first()[0]
     m = _small(flat.select("x", "y", F.col("value").alias("flat")))
-    rows = px.join(m, ["x", "y"], "left").join(F.broadcast(mean))
-    return rows.withColumn("v", F.try_divide(F.col("v") * F.col("level"), F.col("flat"))).drop("flat", "level")
+    rows = px.join(m, ["x", "y"], "left")
+    return rows.withColumn("v", F.try_divide(F.col("v") * F.lit(level), F.col("flat"))).drop("flat")
 
 
 def nearest_by_scalar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, scalar: str, buckets: int = 64) -> DataFrame:
