@@ -23,8 +23,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumeria-{name}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has Hadoop delete a folder that was written when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
+    """df as a table in the shared folder: cuts lineage and outlives lost executors. It stays until the application ends."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.functions.shared import new_path
+from plumeria.functions.shared import new_path, until_exit
 
 
 def arriving(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -50,4 +50,6 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     else:
         query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
+    until_exit(spark, out)
+    until_exit(spark, log)
     return spark.read.schema(stream.schema).parquet(out)
