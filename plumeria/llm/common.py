@@ -33,11 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumeria-{name}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has Hadoop delete a folder that was written when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
+    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing.
+
+    The folder stays until the application ends, since a result may read it at any time.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

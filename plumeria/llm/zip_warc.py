@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import new_path, saved, ship
+from plumeria.llm.common import new_path, saved, ship, until_exit
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 8 << 20, 1 << 20, 4
@@ -288,4 +288,6 @@ def archive_round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Writes pages to archives in the shared folder and reads all their records back."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    return read_archives(spark, write_archives(dedup_plan(pages, **columns), folder))
+    archives = write_archives(dedup_plan(pages, **columns), folder)
+    until_exit(spark, folder)
+    return read_archives(spark, archives)
