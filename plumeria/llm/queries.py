@@ -124,6 +124,16 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {zip_w
 CASE WHEN payload_bytes >= {zip_warc.MIN_REVISIT} AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
+def shard_sql(n_shards: int = 40) -> str:
+    """Prefix sums over all rows; CRC-32 byte by byte, with its table made from the polynomial."""
+    return f"""WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bs FROM documents),
+s AS (SELECT doc_id, (len(bs) + 16)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, t),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS pos, sum(size) OVER () AS total FROM s),
+p AS (SELECT *, (pos * {n_shards} // total)::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, NULL::INT AS grown_shard FROM p"""
+
+
 def url_sql() -> str:
     """Every rule tried on every URL."""
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
@@ -140,4 +150,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_divergence": quality_sql(),
     "op4_zip_warc": warc_sql(),
     "op8_url_rules": url_sql(),
+    "op9_byte_shards": shard_sql(),
 }
