@@ -1,4 +1,8 @@
-"""Frames in time: capture sessions and as-of matches."""
+"""Frames in time: capture sessions and as-of matches.
+
+Both cut a key's rows by time first, so that a key with most of the rows is spread over its days;
+what then meets for each key is a row or two for each day.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def capture_sessions(events: DataFrame, key: str, gap: str = "10 minutes", value: str = "value") -> DataFrame:
-    """(key, started, ended, n, total): rows of a key no more than the gap apart. ended is the last row's time."""
-    return (
-        events.groupBy(key, F.session_window("ts", gap).alias("w"))
+def capture_sessions(events: DataFrame, key: str, gap: str = "10 minutes", value: str = "value", cut: str = "day") -> DataFrame:
+    """(key, started, ended, n, total): rows of a key no more than the gap apart. ended is the last row's time.
+
+    Sessions are found inside each ``cut`` of time and then joined where two follow within the gap.
+    Rows without a time belong to no session.
+    """
+    parts = (
+        events.where("ts is not null")
+        .groupBy(key, F.date_trunc(cut, "ts").alias("_cut"), F.session_window("ts", gap).alias("_w"))
         .agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"), F.sum(value).alias("total"))
-        .drop("w")
     )
+    of_key = Window.partitionBy(key).orderBy("started")
+    apart = F.coalesce(F.col("started") > F.lag("ended").over(of_key) + F.expr(f"interval {gap}"), F.lit(True))
+    parts = parts.withColumn("_new", apart.cast("int")).withColumn("_k", F.sum("_new").over(of_key))
+    joined = parts.groupBy(key, "_k").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return joined.drop("_k")
+
 
+def as_of(events: DataFrame, key: str, wanted: Column, asking: Column, order: tuple[str, ...] = ("ts", "event_id"), cut: str = "day") -> DataFrame:
+    """Asking rows with ``match``: (order columns, value) of the latest earlier wanted row of the key, or null.
 
-def as_of(events: DataFrame, key: str, wanted: Column, asking: Column, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Asking rows with ``match``: (ts, event_id, value) of the latest earlier wanted row of the key, or null."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(wanted, F.struct("ts", "event_id", "value")), ignorenulls=True).over(w)
-    return events.withColumn("match", last).where(asking)
+    The first of the order columns is a time. Inside each ``cut`` of it a window finds the match; where a
+    cut has none so far, it is the latest of the cuts before. Rows without a time come first.
+    """
+    found = F.struct(*order, "value")
+    rows = events.withColumn("_cut", F.date_trunc(cut, order[0])).withColumn("_wanted", wanted)
+    cuts = rows.groupBy(key, "_cut").agg(F.max(F.when(F.col("_wanted"), found)).alias("_latest"))
+    before = Window.partitionBy(key).orderBy(F.col("_cut").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(F.col(key).alias("_key"), F.col("_cut").alias("_of"), F.last("_latest", ignorenulls=True).over(before).alias("_before"))
+    inside = Window.partitionBy(key, "_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.last(F.when(F.col("_wanted"), found), ignorenulls=True).over(inside)).where(asking)
+    rows = rows.join(cuts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_cut").eqNullSafe(F.col("_of")))
+    return rows.withColumn("match", F.coalesce("_inside", "_before")).select(*events.columns, "match")

@@ -109,3 +109,12 @@ def test_session_gap_is_inclusive(spark):
 @pytest.mark.parametrize("f", [stacking.basic_stack, stacking.sigma_clip_stack, stacking.sigma_clip_converged, stacking.weighted_stack, stacking.selected_stack, stacking.mad_clip_stack, stacking.winsorised_stack])
 def test_empty_tables(spark, f):
     assert f(px(spark, [1]).limit(0)).count() == 0
+
+
+def test_sessions_and_matches_cross_midnight(spark):
+    rows = [(1, 1, "2024-01-01 23:55:00", "click", 1), (2, 1, "2024-01-02 00:05:00", "purchase", 2), (3, 1, "2024-01-02 00:20:00", "purchase", 3), (4, None, "2024-01-02 00:00:00", "purchase", 4), (5, 1, "2024-01-05 00:00:00", "click", 5), (6, 1, "2024-01-07 00:00:00", "purchase", 6), (7, 1, None, "click", 7)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value long").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = {(r.user_id, r.n, r.total) for r in timeline.capture_sessions(e, "user_id").collect()}
+    assert s == {(1, 2, 3), (1, 1, 3), (None, 1, 4), (1, 1, 5), (1, 1, 6)}
+    m = timeline.as_of(e, "user_id", F.col("event_type") == "click", F.col("event_type") == "purchase")
+    assert {r.event_id: r.match and r.match.event_id for r in m.collect()} == {2: 1, 3: 1, 4: None, 6: 5}
