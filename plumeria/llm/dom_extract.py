@@ -61,7 +61,7 @@ MAX_DEPTH = 200
 
 TAGS = "html body main article section div p span a h1 h2 h3 h4 h5 h6 ul ol li nav header footer aside form table tr td blockquote pre figure figcaption dl dt dd label fieldset details summary address other".split()
 TAG = {t: i for i, t in enumerate(TAGS)}
-NAMES = 512  # hashed words of class, id and role
+NAMES = 1024  # hashed words of class, id and role, of the element and of its parent
 NUMBERS = 10
 FEATURES = len(TAGS) + NAMES + NUMBERS + 1
 #: Kinds of children that have potentials of their own with their parent.
@@ -211,6 +211,8 @@ class Forest:
                 )
                 tag = dom.tag[i]
                 feature = {TAG.get(tag, TAG["other"])} | {len(TAGS) + crc32(w.encode()) % NAMES for w in dom.names[i]}
+                if i:  # and of the parent's names, apart
+                    feature |= {len(TAGS) + crc32(b"^" + w.encode()) % NAMES for w in dom.names[par[i]]}
                 feature |= {len(TAGS) + NAMES + k for k, on in enumerate(numbers) if on} | {FEATURES - 1}
                 rows.extend([shift + i] * len(feature))
                 columns.extend(feature)
@@ -336,8 +338,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
 
     def comments() -> str:
         def one() -> str:
-            t = r.choice(["div", "li", "article", "p"])
-            return f"<{t}{named('comment', 'reply', 'response', also=0.8)}>{some(0.5, f'<b>{word()}</b> ')}{inline(4, 60) if t == 'p' or r.random() < 0.3 else ''.join(f'<p>{inline(4, 50)}</p>' for _ in range(r.randint(1, 2)))}</{t}>"
+            t = r.choice(["div", "li", "article", "p", "p"])
+            return f"<{t}{named('comment', 'reply', 'response', also=0.4 if t == 'p' else 0.8)}>{some(0.5, f'<b>{word()}</b> ')}{inline(4, 60) if t == 'p' or r.random() < 0.3 else ''.join(f'<p>{inline(4, 50)}</p>' for _ in range(r.randint(1, 2)))}</{t}>"
 
         tag = r.choice(["section", "div", "div", "ol", "ul", "aside"])
         return f"<{tag}{named('comments', 'commentlist', 'discussion', 'responses', 'replies', 'disqus', 'reviews')}>{some(0.5, f'<h3>{words(1, 3)}</h3>')}{''.join(one() for _ in range(r.randint(1, 6)))}{some(0.3, form())}</{tag}>"
@@ -370,7 +372,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         parts = [some(0.75, f"<h1{L}>{words(2, 12)}</h1>"), some(0.1, f"<header{L}><h1{L}>{words(2, 10)}</h1></header>")]
         plain, most = r.choice([0.7, 0.7, 1]), r.choice([4, 12, 60, 200, 200])  # only paragraphs or all kinds; how long they get
         parts += [paragraph(plain, most) for _ in range(r.choice([1, 2, 3, 5, 8, 12, 25, 40]))]
-        for extra, p in ((advert, 0.25), (notice, 0.08), (side, 0.15), (form, 0.1), (comments, 0.15), (menu, 0.06)):
+        for extra, p in ((advert, 0.25), (notice, 0.08), (side, 0.15), (form, 0.1), (comments, 0.3), (menu, 0.06)):
             if r.random() < p:
                 parts.insert(r.randint(1, len(parts)) if extra is not comments else len(parts), extra())
         name = named("content", "article", "post", "entry", "story", "body", "text", "main", "page", also=0.4 if tag in ("article", "main") else 0.9)
