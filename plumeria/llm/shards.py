@@ -1,13 +1,13 @@
 """Contiguous shards of near-equal bytes from global prefix sums [native].
 
-The rows are put in the order of (id, checksum, size). Buckets of that order (ranges of the id,
-cut at quantiles of a sketch) give per-bucket totals; their running sum is the byte offset at
-which each bucket starts, and a window inside each bucket adds what comes before a row. A row
+The rows are put in the order of (id, checksum, size). The partitions of that order (ranges, dealt
+out by a sample) give per-partition totals; their running sum is the byte offset at which each
+range starts, and a window inside each range adds what comes before a row. A row
 whose first byte lies at offset ``o`` of ``total`` goes to shard ``o * n_shards div total``, so
 shards are contiguous in the order and differ from the target by less than one row at each cut.
 
 Only (id, size, checksum) is shuffled, never the text, and no group of equal texts or of one
-source comes together: the order is by id. The totals have one row per bucket and the shard
+source comes together: the order is by id. The totals have one row per range and the shard
 starts one row per shard, so both are broadcast whatever the size of the input.
 
 Nulls: a null text counts no bytes (size is the overhead alone, checksum 0); a null id sorts
@@ -16,7 +16,7 @@ first. Repeated rows tie and keep one place each. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import saved
@@ -32,26 +32,13 @@ def row_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     )
 
 
-def _bucket(ids: Column, cuts: list[int]) -> Column:
-    """How many cuts lie below the id: by halving, so a row needs log2(cuts) comparisons."""
-
-    def among(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ids <= F.lit(cuts[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
-
-    return F.when(ids.isNull(), F.lit(0)).otherwise(among(0, len(cuts)))
-
-
 def byte_shards(sizes: DataFrame, n_shards: int, buckets: int | None = None) -> DataFrame:
     """Adds shard and slot to rows of :func:`row_sizes`. ``buckets``: ranges for the prefix sums."""
     spark = sizes.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = saved(sizes, "sizes")
-    at = [i / n for i in range(1, n)]
-    cuts = sorted(set(sizes.select(F.percentile_approx("doc_id", at, 20 * n)).first()[0] or [])) if at else []
-    rows = sizes.withColumn("bucket", _bucket(F.col("doc_id"), cuts))
+    # the sizes are written before they are dealt out, since that samples them; then with their range, which must not change
+    ranges = saved(sizes, "sizes").repartitionByRange(n, "doc_id", "text_crc32", "size")
+    rows = saved(ranges.withColumn("bucket", F.spark_partition_id()), "ranges")
     totals = rows.groupBy("bucket").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = totals.select(
