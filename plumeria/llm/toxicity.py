@@ -43,8 +43,8 @@ DOUBTED = 0.25
 ROUNDS, STEPS, MOST_PASSES, BATCH, ASIDE = 6, 100, 8, 96, 5
 #: What a step takes off the vectors of words and n-grams, so that rare ones don't learn single texts by heart.
 DECAY = 5e-3
-#: Windows scored at once; distinct words kept by a worker.
-CHUNK, MEMO_WORDS = 4096, 300_000
+#: Windows scored at once; distinct words kept by a worker; words of the texts that it scores together.
+CHUNK, MEMO_WORDS, TOGETHER = 4096, 120_000, 100_000
 PUNCTUATION = ".,;:!?'\"()[]{}|*#$%&-_<>"
 
 
@@ -267,7 +267,7 @@ class Model:
         for i, t in enumerate(texts):
             group.append(tokens_of(t))
             size += len(group[-1])
-            if size > 400_000 or i == len(texts) - 1:
+            if size > TOGETHER or i == len(texts) - 1:
                 out += [float(x.max()) for x in self.logits(group)]
                 group, size = [], 0
         return sigmoid(self.scale * np.array(out) + self.shift)
@@ -387,7 +387,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
     rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", some_windows(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     rows = rows.dropDuplicates([id_col]).collect()
-    return [([w.split() for w in r["w"]], int(r["label"])) for r in sorted(rows, key=lambda r: r[id_col])]
+    same: dict[str, str] = {}  # one object for each distinct word
+    return [([[same.setdefault(t, t) for t in w.split()] for w in r["w"]], int(r["label"])) for r in sorted(rows, key=lambda r: r[id_col])]
 
 
 def held_out(id_col: Column) -> Column:
