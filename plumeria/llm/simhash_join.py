@@ -27,7 +27,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -48,25 +48,36 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+def hashes(text: str | None, width: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of the shingles in order, HASHES at a time; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = _WORDS(text.encode().translate(_LOWER)) if text else []
     if not words:
-        return 0
+        return
     n = max(1, len(words) - width + 1)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    over = np.zeros(64, dtype=np.int64)
     for at in range(0, n, HASHES):
-        some = [xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[at : at + HASHES], ends[at : at + HASHES])]
-        bits = np.unpackbits(np.array(some, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        yield np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[at : at + HASHES], ends[at : at + HASHES])], dtype=np.uint64)
+
+
+def bits_of(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes."""
+    over, n = np.zeros(64, dtype=np.int64), 0
+    for some in parts:
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         over += bits.sum(axis=0, dtype=np.int64)
+        n += len(some)
     return int.from_bytes(np.packbits(over * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    return bits_of(hashes(text, width, seed))
+
+
 def fingerprint_column(text: Column, width: int = 4) -> Column:
     """The fingerprint's 64 bits as a signed long."""
 
