@@ -17,14 +17,16 @@ is a map over pages, without a shuffle.
 Output: text by blocks (the text of an element between its block-level children), white space
 inside a block as one space, trimmed, empty blocks left out, joined by a blank line in page
 order; character references decoded. Scripts, styles and other elements that never hold text for
-readers are left out before. Null and empty html gives an empty text. Unclosed, stray and deeply
-nested tags are accepted. Repeated rows stay repeated; an empty table gives no rows.
+readers are left out before; a head ends where an element begins that can't stand in it, and others that
+lack an end tag where an enclosing element ends or a block begins. Null and empty html gives an empty
+text. Unclosed, stray and deeply nested tags are accepted. Repeated rows stay repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -40,6 +42,8 @@ from plumeria.llm.common import ship
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("script style template noscript head iframe object svg canvas math select textarea button option datalist audio video title".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title style script template noscript noframes".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -80,13 +84,22 @@ class Dom(HTMLParser):
         self.parent, self.tag, self.names, self.links, self.own = [-1], ["html"], [()], [0], [0]
         self.blocks: list[tuple[int, list[str]]] = []  # (element, pieces of text) in page order
         self.open: list[tuple[str, int]] = [("html", 0)]  # (tag, element that text in it belongs to)
-        self.dropped: list[str] = []
+        self.dropped: list[str] = []  # a dropped element and those open in it
+        self.ends: dict[str, int] = {}  # end tags of dropped elements that are still to come
         self.in_link = 0
         self.fresh = True  # the next text begins a block
 
+    def feed(self, data):
+        self.ends = {t: n for t, n in Counter(re.findall(r"</([a-z]+)", data.lower())).items() if t in DROPPED}
+        super().feed(data)
+
     def handle_starttag(self, tag, attrs):
+        if self.dropped and self._ends_dropped(tag):
+            self.dropped.clear()
         if self.dropped:
-            if tag == self.dropped[-1] and tag not in VOID:
+            if tag == "button" and tag in self.dropped:
+                del self.dropped[self.dropped.index(tag) :]
+            if tag not in VOID and tag not in ("html", "head", "basefont", "bgsound"):
                 self.dropped.append(tag)
             return
         if tag in DROPPED:
@@ -125,13 +138,24 @@ class Dom(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _ends_dropped(self, tag: str) -> bool:
+        if tag == "body":
+            return all(t != "body" for t, _ in self.open)
+        if self.dropped == ["head"]:
+            return tag not in IN_HEAD
+        return tag in BLOCK and self.dropped[0] != "head" and not self.ends.get(self.dropped[0])
+
     def handle_endtag(self, tag):
+        if tag in self.ends:
+            self.ends[tag] -= 1
         if self.dropped:
-            if tag == self.dropped[-1]:
-                self.dropped.pop()
-            elif tag in ("head", "body", "html") and tag in self.dropped:
-                del self.dropped[self.dropped.index(tag) :]
-            return
+            for i in range(len(self.dropped) - 1, -1, -1):
+                if self.dropped[i] == tag:
+                    del self.dropped[i:]
+                    return
+            if all(t != tag for t, _ in self.open[1:]):
+                return
+            self.dropped.clear()
         if tag in ("html", "body"):
             return
         for i in range(len(self.open) - 1, 0, -1):

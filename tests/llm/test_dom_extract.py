@@ -94,3 +94,28 @@ def test_odd_html_does_not_fail(html):
 def test_empty_table_and_repeats(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text")
     assert X.extract(pages).count() == 3 and X.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>t</title><meta charset=x><body>",
+        "<head><title>t</title><noscript>no<img></noscript><link rel=x>",
+        "<head><noscript><p>no</p><body>",
+        "<body><button>",
+        "<body><noscript>",
+        "<body><svg><path>",
+        "<body><div><button>go</div>",
+        "<body><div><select><option>a<option>b</div>",
+        "<body><div><noscript>no</div><noscript><p>no</p></noscript>",
+        "<body><div><button>go<button>on</button></div>",
+    ],
+)
+def test_dropped_elements_without_end(start):
+    """Nothing of the article is lost."""
+    assert X.main_texts([f"{start}<article><h1>T</h1><p>{BODY}</p></article></body></html>"], *X.trained()) == ["T\n\n" + BODY.strip()]
+
+
+def test_dropped_elements_with_end_stay_dropped():
+    page = f"<head><title>t</title></head><body><article><p>{BODY}<button><div><p>no</p></div></button><noscript><article><p>{BODY}</p></article></noscript><p>{BODY}</article>"
+    assert X.main_texts([page], *X.trained()) == [BODY.strip() + "\n\n" + BODY.strip()]
