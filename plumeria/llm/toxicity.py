@@ -1,42 +1,50 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text is cut into overlapping windows of ``WINDOW`` words at every ``STRIDE`` words, to its end.
-Each word enters as two vectors: one of the word (for words seen often enough in training) and
-the mean of the vectors of its character n-grams (hashed), so spellings never seen still say
-something. A GRU reads the window forwards, another one backwards; attention weighs the states
+A word of more than ``LONG`` characters (text without spaces, say) enters as several: pieces of that
+length that overlap, to its end. Each word enters as two vectors: one of the word (for words seen
+often enough in training) and the mean of the vectors of its character n-grams (hashed), so
+spellings never seen still say something. A GRU reads the window forwards, another one backwards; attention weighs the states
 and a linear layer scores the sum. A text's score is that of its highest window, calibrated.
 
-Training is in numpy, by back-propagation through time, on a bounded sample of labelled texts:
-at most ``per_class`` of each label, chosen by a hash of the id, and at most ``windows`` windows of
-each text. The label belongs to the text, not the window: after a pass in which each window has
+Training is in numpy, by back-propagation through time, on a bounded sample of labelled rows: of
+each label at most ``per_class``, in the order of a hash of the id, until their texts add up to
+``most_bytes`` (longer texts are not trained on). All windows of a chosen text are used. The label belongs to the text, not the window: after a pass in which each window has
 its text's label, positives are the best windows of toxic texts under the model so far, and
 negatives the best and some other windows of clean texts. Labels hold errors, so toxic texts in
-which no window scores above half after two passes are set aside, up to a share. Labels, language, source and id are not
-inputs. The sample and the weights (about 2 MB, broadcast) are bounded by these parameters.
+which no window scores above half after two passes are set aside, up to a share. Labels, language,
+source and id are not inputs. The sample and the weights (about 2 MB, broadcast) are bounded by
+these parameters.
 
 Scoring is a map over all rows: whole texts, no shuffle. What a word adds to the gates is
-computed once for each distinct word and kept in a bounded memo.
+computed once for each distinct word of a batch and kept in a bounded memo.
 
-Nulls and empty texts are scored as one window without words. Repeated rows stay repeated; an
-empty table gives no rows. Without labels of both kinds, every text scores the mean label (0 if none).
+Nulls and texts without words score the mean label. Repeated rows stay repeated; an
+empty table gives no rows. Of several texts with one id, training takes the one whose hash (then
+text) is smallest; of several labels of an id, the largest; null ids and labels other than 0 and 1
+are not trained on. Other columns of either table play no part. Without labels of both kinds, every text scores the mean label (0 if none).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ship
+from plumeria.llm.common import saved, ship
 
 WINDOW, STRIDE = 24, 16
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, MIN_COUNT, BUCKETS = 20_000, 4, 16_384
-PER_CLASS, WINDOWS, SEED = 1200, 40, 7
+#: Labelled rows of each label that training takes at most, and bytes of their texts.
+PER_CLASS, MOST_BYTES, SEED = 1200, 32 << 20, 7
+#: Characters of the pieces of a longer word, and how many of them two pieces share.
+LONG, SHARED = 48, 12
+#: Sizes of the character n-grams.
+GRAMS = (3, 4, 5)
 #: The largest share of toxic labels that training may set aside as errors.
 DOUBTED = 0.25
 #: Rounds of training, steps in each (unless they take more passes than the most), windows in a step; one text in ASIDE is kept for calibration.
@@ -49,13 +57,33 @@ PUNCTUATION = ".,;:!?'\"()[]{}|*#$%&-_<>"
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
-
-
-def grams(token: str) -> list[int]:
-    """Hashed character 3-, 4- and 5-grams of a word, with its ends marked."""
-    s = f"^{token.strip(PUNCTUATION)[:64]}$"
-    return [crc32(s[i : i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(max(1, len(s) - n + 1))]
+    words = text.lower().split() if text else []
+    if words and max(map(len, words)) > LONG:
+        return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - SHARED), LONG - SHARED)]
+    return words
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of each word, its ends marked: (those of all words in order, where each word's begin)."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = "".join([f"^{w}$".ljust(max(GRAMS), "\0") for w in words])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    held = np.maximum(size, max(GRAMS))
+    first = np.cumsum(held) - held
+    count = [np.maximum(1, size - n + 1) for n in GRAMS]  # a word shorter than n is one n-gram
+    begin = np.cumsum(sum(count)) - sum(count)
+    flat, at = np.empty(int(sum(count).sum()), np.int32), begin
+    rolled, n = code, 1
+    for own, k in zip(count, GRAMS):
+        while n < k:
+            rolled = rolled[:-1] * np.uint32(0x01000193) + code[n:]
+            n += 1
+        mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        bucket = ((mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int32)
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        flat[np.repeat(at, own) + step] = bucket[np.repeat(first, own) + step]
+        at = at + own
+    return flat, begin
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
@@ -169,23 +197,12 @@ def gradients(p: dict, words: np.ndarray, chars: np.ndarray, ids: np.ndarray, y:
     return loss, g, d_x[:, :WORD_DIM], d_x[:, WORD_DIM:]
 
 
-class Words:
-    """Distinct words with their vocabulary ids and n-grams. Row 0 is the filler."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.row, self.word, self.gram = vocabulary, {}, [0], [[0]]
-
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        for t in tokens:
-            if t not in self.row:
-                self.row[t] = len(self.word)
-                self.word.append(self.vocabulary.get(t.strip(PUNCTUATION), 0))
-                self.gram.append(grams(t))
-        return np.array([self.row[t] for t in tokens], dtype=np.int32)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """word ids, flat n-grams, where each word's begin."""
-        return np.array(self.word), np.concatenate(self.gram), np.concatenate(([0], np.cumsum([len(g) for g in self.gram])[:-1]))
+def inputs(vocabulary: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What enters for words: their ids, their n-grams, and where each word's begin. Row 0 is the filler."""
+    plain = ["", *(w.strip(PUNCTUATION) for w in words)]
+    ids = np.fromiter((vocabulary.get(w, 0) for w in plain), np.int64, len(plain))
+    ids[0] = 0
+    return ids, *grams(plain)
 
 
 def means(char: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -205,6 +222,11 @@ class Rows(dict):
         return n
 
 
+def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): the sums of the rows that go to each place."""
+    return np.stack([np.bincount(at, column, n) for column in rows.T], axis=1).astype(np.float32)
+
+
 class Adam:
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.n = p, rate, 0
@@ -222,7 +244,7 @@ class Adam:
 
 
 class Model:
-    """Trained weights with the vocabulary; scores texts. ``prior``: the score where nothing could be trained."""
+    """Trained weights with the vocabulary; scores texts. ``prior``: the score of texts without words, or of all where nothing could be trained."""
 
     def __init__(self, p: dict | None, vocabulary: dict[str, int], scale: float = 1.0, shift: float = 0.0, prior: float = 0.0):
         self.p, self.vocabulary, self.scale, self.shift, self.prior = p, vocabulary, scale, shift, prior
@@ -246,9 +268,7 @@ class Model:
         row = self.row.__getitem__
         cut = [windows_of(np.fromiter(map(row, ts), np.int32, len(ts))) for ts in tokens]
         if self.row.new or not len(self.gates):
-            fresh = Words(self.vocabulary)
-            fresh.rows(self.row.new)
-            ids, flat, begin = fresh.arrays()
+            ids, flat, begin = inputs(self.vocabulary, self.row.new)
             gates = gates_of(self.p, self.p["word"][ids], means(self.p["char"], flat, begin))
             self.gates = np.concatenate([self.gates, gates[1 if len(self.gates) else 0 :]])
             self.row.new = []
@@ -256,10 +276,6 @@ class Model:
         out = np.concatenate([forward(self.p, self.gates, np.ascontiguousarray(all_[i : i + CHUNK])) for i in range(0, len(all_), CHUNK)])
         return np.split(out, np.cumsum([len(c) for c in cut])[:-1])
 
-    def logits_of(self, windows: list[list[str]]) -> np.ndarray:
-        """Logits of windows given as words."""
-        return np.concatenate(self.logits(windows))
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.p is None:
             return np.full(len(texts), self.prior)
@@ -268,13 +284,14 @@ class Model:
             group.append(tokens_of(t))
             size += len(group[-1])
             if size > TOGETHER or i == len(texts) - 1:
-                out += [float(x.max()) for x in self.logits(group)]
+                out += [float(x.max()) if ts else np.nan for ts, x in zip(group, self.logits(group))]
                 group, size = [], 0
-        return sigmoid(self.scale * np.array(out) + self.shift)
+        out = np.array(out)
+        return np.where(np.isnan(out), self.prior, sigmoid(self.scale * out + self.shift))
 
 
-def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None, seed: int = SEED) -> Model:
-    """samples: for each text its windows (lists of words) and its label. prior: the share of label 1 where the sample's is not it."""
+def train(samples: list[tuple[list[str], int]], prior: float | None = None, seed: int = SEED) -> Model:
+    """samples: for each text its words and its label. prior: the share of label 1 where the sample's is not it."""
     labels = np.array([y for _, y in samples])
     if len(samples) == 0 or labels.min() == labels.max():
         return Model(None, {}, prior=float(labels.mean()) if len(samples) else 0.0)
@@ -284,20 +301,16 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
     if min((labels[aside] == y).sum() for y in (0, 1)) < 8:
         aside[:] = False
     count: dict[str, int] = {}
-    for wins, _ in samples:
-        for t in {t.strip(PUNCTUATION) for w in wins for t in w}:
+    for tokens, _ in samples:
+        for t in {t.strip(PUNCTUATION) for t in tokens}:
             count[t] = count.get(t, 0) + 1
     often = sorted((t for t, n in count.items() if n >= MIN_COUNT), key=lambda t: (-count[t], t))[: VOCABULARY - 1]
     vocabulary = {t: i + 1 for i, t in enumerate(often)}
-    words = Words(vocabulary)
-    ids, of, y = [], [], []
-    for k, (wins, label) in enumerate(samples):
-        for w in [] if aside[k] else wins:
-            row = np.zeros(WINDOW, np.int32)
-            row[: len(w)] = words.rows(w)
-            ids.append(row), of.append(k), y.append(label)
-    ids, of, y = np.array(ids), np.array(of), np.array(y, dtype=np.float32)
-    word, flat, begin = words.arrays()
+    row = Rows()
+    cut = [windows_of(np.fromiter(map(row.__getitem__, samples[k][0]), np.int32, len(samples[k][0]))) for k in np.flatnonzero(~aside)]
+    ids, of = np.concatenate(cut), np.repeat(np.flatnonzero(~aside), list(map(len, cut)))
+    y = labels[of].astype(np.float32)
+    word, flat, begin = inputs(vocabulary, row.new)
     sizes = np.diff(np.append(begin, len(flat)))
     p = start(len(vocabulary) + 1, rng)
     adam = Adam(p, 0.01)
@@ -306,15 +319,14 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
         used, local = np.unique(ids[rows], return_inverse=True)
         if used[0] != 0:
             used, local = np.concatenate(([0], used)), local + 1
-        part = [flat[begin[i] : begin[i] + sizes[i]] for i in used]
-        f, b = np.concatenate(part), np.concatenate(([0], np.cumsum(sizes[used])[:-1]))
+        own = sizes[used]
+        b = np.cumsum(own) - own
+        f = flat[np.repeat(begin[used] - b, own) + np.arange(own.sum())]
         t = y[rows]
         weight = np.where(t > 0, 0.5 / max(1e-6, positive), 0.5 / max(1e-6, 1 - positive)) / len(rows)
         _, g, d_word, d_char = gradients(p, p["word"][word[used]], means(p["char"], f, b), local.reshape(len(rows), WINDOW), t, weight.astype(np.float32))
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], word[used], d_word)
-        g["char"] = np.zeros_like(p["char"])
-        np.add.at(g["char"], f, np.repeat(d_char / sizes[used][:, None], sizes[used], axis=0))
+        g["word"] = added(word[used], d_word, len(p["word"]))
+        g["char"] = added(f, np.repeat(d_char / own[:, None], own, axis=0), BUCKETS)
         g["word"][0] = 0
         adam.step(g)
 
@@ -353,7 +365,7 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
     judged = [k for k in range(len(samples)) if aside[k]]
     if min((labels[judged] == y).sum() for y in (0, 1)) < 8:
         judged = list(range(len(samples)))
-    best = np.clip([float(x.max()) for k in judged for x in [model.logits_of(samples[k][0])]], -20, 20)
+    best = np.clip([x.max() for x in model.logits([samples[k][0] for k in judged])], -20, 20)
     labels = labels[judged]
     w = np.where(labels > 0, prior / labels.mean(), (1 - prior) / (1 - labels.mean())) / len(labels)
     middle, wide = best.mean(), best.std() + 1e-6
@@ -363,32 +375,28 @@ def train(samples: list[tuple[list[list[str]], int]], prior: float | None = None
         scale, shift = scale - float((e * z).sum() + 1e-3 * scale), shift - float(e.sum())
     scale = max(0.05, scale) / wide
     shift -= scale * middle
-    return Model(p, vocabulary, scale, shift)
+    return Model(p, vocabulary, scale, shift, prior)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[list[list[str]], int]]:
-    """Windows of at most ``per_class`` texts of each label, at most ``windows`` of each text, spread evenly over it."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    known = known.join(docs.select(id_col), id_col, "left_semi")
-    order = (F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
-    chosen = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(*order).limit(per_class).collect()]
+def training_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> list[tuple[list[str], int]]:
+    """(words, label) of at most ``per_class`` texts of each label with ``most_bytes`` in all, in the order of a hash of the id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").withColumn("order", F.xxhash64(F.col("id").cast("string")))
+    chosen = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy("order", "id").limit(per_class).collect()]
     if not chosen:
         return []
     ids = docs.sparkSession.createDataFrame(chosen, known.schema)  # at most 2 * per_class rows
-
-    @F.pandas_udf("array<string>")
-    def some_windows(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            ts = tokens_of(t)
-            n = 1 + max(0, -(-(len(ts) - WINDOW) // STRIDE))
-            out.append([" ".join(ts[i * STRIDE : i * STRIDE + WINDOW]) for i in sorted({k * n // windows for k in range(windows)} if n > windows else range(n))])
-        return pd.Series(out)
-
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", some_windows(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = rows.dropDuplicates([id_col]).collect()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= most_bytes)
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")
+    rows = rows.join(F.broadcast(ids), "id").groupBy("label", "order", "id").agg(one.alias("text"))
+    size = F.sum(F.octet_length("text").cast("long"))
+    rows = saved(rows, "sample")  # bounded: its running sums may take one task for each label
+    rows = rows.withColumn("upto", size.over(Window.partitionBy("label").orderBy("order", "id"))).where(F.col("upto") <= most_bytes)
     same: dict[str, str] = {}  # one object for each distinct word
-    return [([[same.setdefault(t, t) for t in w.split()] for w in r["w"]], int(r["label"])) for r in sorted(rows, key=lambda r: r[id_col])]
+    return [([same.setdefault(t, t) for t in tokens_of(r["text"])], int(r["label"])) for r in rows.orderBy("order", "id").toLocalIterator()]
 
 
 def held_out(id_col: Column) -> Column:
@@ -410,6 +418,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Co
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist()))
+            which, distinct = pd.factorize(texts)  # equal texts are scored once
+            yield pd.Series(shared.value.scores(distinct.tolist())[which])
 
     return score(F.coalesce(F.col(text_col), F.lit("")))
