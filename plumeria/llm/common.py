@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeria.functions.shared import new_path, until_exit, written  # noqa: F401
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same class of white space, for splitting.
@@ -18,36 +19,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plumeria-{name}-{uuid.uuid4().hex}"
-
-
-def until_exit(spark: SparkSession, path: str) -> None:
-    """Has Hadoop delete a folder that was written when the driver's JVM ends."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing.
 
     The folder stays until the application ends, since a result may read it at any time.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    until_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, in any case."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """A key of 64 bits for the text (null: as an empty one), computed without Python."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def ship(spark: SparkSession) -> None:

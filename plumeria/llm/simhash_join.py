@@ -12,7 +12,8 @@ down together from (root, root), the bits in which they differ are added up, and
 dropped as soon as they exceed the budget, or when all leaves below both are known to be linked.
 What is left at the leaves are exactly the pairs within the budget; a leaf pair costs one union.
 
-Scale: only fingerprints are shuffled (equal ones once), never texts. Tries with more leaves than
+Scale: only fingerprints are shuffled (equal ones once); texts are not, but where ``deduplicated``
+removes more rows than it may broadcast. Tries with more leaves than
 ``leaves`` are cut into parts, and each pair of parts is a task of its own, so no task holds more
 than twice that many, however many near copies a document has; every pair is still met. More
 blocks are agreed on as the fingerprints grow in number, so that tries stay small. A task gives a
@@ -20,8 +21,9 @@ spanning forest of the links it found, not all pairs. Components are closed over
 repeated star contraction, with each round written to the shared folder.
 
 Nulls: a null text has no words. Documents with equal texts share a fingerprint; repeated rows
-stay repeated. A null id can't be a representative; a component of null ids only has a null id.
-An empty table gives no rows.
+stay repeated in ``near_duplicates``. A null id can't be a representative; a component of null ids
+only has a null id, and in ``deduplicated`` it keeps one row of its own. An empty table gives no rows.
+Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -36,12 +38,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import saved, ship
+from plumeria.functions.graph import min_reachable as components
+from plumeria.llm.common import fresh, saved, ship, text_key
 
 #: Leaves of a trie (or part of one) that a task takes at once, and fingerprints hashed at once.
 LEAVES, HASHES = 1024, 1 << 16
 #: Fingerprints that a call of the join gets on average, at most.
 BIN = 50_000
+#: Rows that a join broadcasts at most, of an id and a key each.
+BROADCAST_ROWS = 500_000
 #: Node pairs that a walk expands at once; beyond it, it goes depth first over halves.
 FRONTIER = 1 << 12
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -240,31 +245,6 @@ def near_links(fps: DataFrame, budget: int = 4, leaves: int = LEAVES, blocks: in
     return rows.groupBy("bin").applyInPandas(links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of the edges (a, b: long) with the smallest node that it reaches.
-
-    Star contraction: in turn, each node hands its larger neighbours to its smallest one, and its
-    smaller ones to the smallest of these. The stars are done when a round changes nothing. The
-    minima are written before they are joined, so that both sides of each join come from a scan and
-    a hub's rows can be split.
-    """
-    edges = saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "edges")
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = saved(small.where("u != v").distinct(), "edges")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            break
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
     """(fp, component_id) of every fingerprint in prints (doc_id, fp): the smallest id reached over links."""
     least = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
@@ -283,21 +263,38 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, id_col: st
     return out.select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (then fingerprint); one of rows that tie in both.
+def keep_first(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs without all but the first of each class. named: (id, key, root) of each row, key as :func:`text_key`.
 
-    The rows are written once with their fingerprints (in a column ``_fp``, replaced if docs has one).
+    First is the smallest id, null ids after all others, then the smallest key; of rows that tie in both,
+    one stays. What leaves is written and joined by id and key, so a text is shuffled only where the rows
+    that leave are too many to broadcast (``BROADCAST_ROWS``).
     """
-    columns = docs.columns
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    first = named.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = named.join(saved(first.select("root", "first"), "first"), "root").where(~rank.eqNullSafe(F.col("first")))
+    gone_id, gone_key = fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_key")
+    gone = saved(rows.select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (text_key(F.col(text_col)) == F.col(gone_key)), "left_anti")
+    ties = named.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key))
+    ties = saved(ties, "ties")
+    n = ties.count()
+    if n:
+        key = fresh(docs.columns, "text_key")
+        kept, ties = kept.withColumn(key, text_key(F.col(text_col))), F.broadcast(ties) if n <= BROADCAST_ROWS else ties
+        same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+        once = kept.join(ties, same, "left_semi").dropDuplicates([id_col, key])
+        kept = kept.join(ties, same, "left_anti").unionByName(once).drop(key)
+    return kept
+
+
+def deduplicated(docs: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of links: the first as :func:`keep_first` orders them. All columns stay."""
     ship(docs.sparkSession)
-    docs = saved(docs.withColumn("_fp", fingerprint_column(F.col(text_col), width)), "fingerprinted")
-    prints = docs.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp"))
-    named = prints.join(classes(prints, budget), "fp")
-    # a component without any id is named by its fingerprints' links alone and has no name: its null is one component
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp")))
-    chosen = named.groupBy("component_id").agg(first.alias("f")).select("f.doc_id", "f.fp")
-    chosen = saved(chosen, "chosen").withColumnsRenamed({"doc_id": "_chosen_id", "fp": "_chosen_fp"})
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen_id")) & (F.col("_fp") == F.col("_chosen_fp")), "left_semi")
-    if not prints.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_fp"])
-    return kept.select(*columns)
+    prints = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_column(F.col(text_col), width).alias("fp"))
+    prints = saved(prints, "fingerprints")
+    roots = components(near_links(prints.select("fp").distinct(), budget))
+    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "key", F.coalesce("root", "fp").alias("root"))
+    return keep_first(docs, named, id_col, text_col)

@@ -1,14 +1,20 @@
 """The stages against brute force on a whole small table, and on rows with nulls and repeats."""
 
 import hashlib
+import os
+import sys
 
+import duckdb
 import public_tokenizers as P
 import tiktoken
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumeria.llm import byte_bpe, decontaminate, quality_divergence, simhash_join, toxicity
+from plumeria.llm import byte_bpe, decontaminate, queries, toxicity
+
+sys.path.insert(0, os.path.dirname(__file__))
+from test_shingle_join import kept_by_brute_force  # noqa: E402
 
 
 def test_stages_on_a_whole_table(spark, sf_dir):
@@ -18,7 +24,9 @@ def test_stages_on_a_whole_table(spark, sf_dir):
     assert len(stages) == 5
 
     good = stages["quality rules"](spark, docs, sf_dir)
-    want = {r.doc_id for r in quality_divergence.rate_documents(docs).where("_kept").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = set(con.execute(f"SELECT doc_id FROM ({queries.quality_sql()}) WHERE kept").df()["doc_id"])
     assert good.columns == columns and {r.doc_id for r in good.collect()} == want
 
     mild = stages["toxicity"](spark, good, sf_dir)
@@ -27,18 +35,9 @@ def test_stages_on_a_whole_table(spark, sf_dir):
     score = dict(zip((r.doc_id for r in rows), model.scores([r.text for r in rows])))
     assert mild.columns == columns and {r.doc_id for r in mild.collect()} == {i for i, s in score.items() if s < 0.5}
 
-    rows = good.orderBy("doc_id").collect()
-    fps = {r.doc_id: simhash_join.fingerprint(r.text) for r in rows}
-    label = {i: i for i in fps}
-    changed = True
-    while changed:
-        changed = False
-        for i in fps:
-            low = min(label[j] for j in fps if bin(fps[i] ^ fps[j]).count("1") <= 4)
-            if low < label[i]:
-                label[i], changed = low, True
-    unique = stages["SimHash near-dedup"](spark, good, sf_dir)
-    assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == sorted(set(label.values()))
+    for some in (good, docs):
+        unique = stages["SimHash near-dedup"](spark, some, sf_dir)
+        assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == kept_by_brute_force([(r.doc_id, r.text) for r in some.collect()])
 
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     clean = stages["benchmark decontamination"](spark, docs, sf_dir)

@@ -109,6 +109,22 @@ def test_chains_of_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 1000: 999, 999: 999}
 
 
+@pytest.mark.parametrize("broadcast", [S.BROADCAST_ROWS, 0])
+def test_no_row_is_lost_to_null_ids(spark, monkeypatch, broadcast):
+    """Unrelated texts without ids stay, each component keeps one row, and any column name may be taken."""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast)
+    r = random.Random(6)
+    apart = [" ".join("w%d" % r.randrange(10**6) for _ in range(30)) for _ in range(6)]
+    rows = [(None, t) for t in apart] + [(None, apart[0]), (5, apart[1]), (3, apart[1]), (None, None), (None, ""), (9, apart[2]), (9, apart[2]), (9, apart[3])]
+    docs = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, _chosen_id int, gone_id int, Key int, fp int")
+    kept = S.deduplicated(docs)
+    # apart[0] twice without an id; apart[1] goes to 3; apart[2] and apart[3] to 9, which has two texts; no words once
+    want = sorted([(str(None), apart[0]), ("3", apart[1]), ("9", apart[2]), ("9", apart[3]), (str(None), apart[4]), (str(None), apart[5])])
+    got = kept.collect()
+    assert kept.columns == docs.columns and sorted((str(x.doc_id), x.text) for x in got if x.text) == want
+    assert len(got) == len(want) + 1
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (None, "other words in here too")], "doc_id long, text string")
     assert sorted((str(r.component_id) for r in S.near_duplicates(docs).collect())) == ["5", "5", "5", "None"]
