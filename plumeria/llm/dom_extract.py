@@ -19,13 +19,15 @@ inside a block as one space, trimmed, empty blocks left out, joined by a blank l
 order; character references decoded. Scripts, styles and other elements that never hold text for
 readers are left out before; a head ends where an element begins that can't stand in it, and others that
 lack an end tag where an enclosing element ends or a block begins. Null and empty html gives an empty
-text. Unclosed, stray and deeply nested tags are accepted. Repeated rows stay repeated; an empty table gives no rows.
+text. Unclosed and stray tags are accepted, and nesting of any depth. Formulas (math) are text.
+Repeated rows stay repeated; an empty table gives no rows; other columns of pages play no part.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +43,7 @@ from plumeria.llm.common import ship
 
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style template noscript head iframe object svg canvas math select textarea button option datalist audio video title".split())
+DROPPED = set("script style template noscript head iframe object svg canvas select textarea button option datalist audio video title".split())
 #: Elements that may stand in a head; any other ends it.
 IN_HEAD = set("html head base basefont bgsound link meta title style script template noscript noframes".split())
 BLOCK = set(
@@ -61,7 +63,8 @@ CLOSES = {
 #: Block elements that may stand in a paragraph's place close an open one.
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "figcaption", "summary", "dd", "dt", "li"} | {"li", "dd", "dt"}
 P_SCOPE = {"td", "th", "table", "caption", "button", "object", "body", "html"}
-MAX_DEPTH = 200
+#: End tags of inline elements do not reach beyond these.
+CELLS = ("td", "th", "table")
 
 TAGS = "html body main article section div p span a h1 h2 h3 h4 h5 h6 ul ol li nav header footer aside form table tr td blockquote pre figure figcaption dl dt dd label fieldset details summary address other".split()
 TAG = {t: i for i, t in enumerate(TAGS)}
@@ -84,7 +87,9 @@ class Dom(HTMLParser):
         self.parent, self.tag, self.names, self.links, self.own = [-1], ["html"], [()], [0], [0]
         self.blocks: list[tuple[int, list[str]]] = []  # (element, pieces of text) in page order
         self.open: list[tuple[str, int]] = [("html", 0)]  # (tag, element that text in it belongs to)
+        self.at: dict[str, list[int]] = {"html": [0]}  # tag -> its places in open
         self.dropped: list[str] = []  # a dropped element and those open in it
+        self.inside: Counter[str] = Counter()  # how many of each tag these are
         self.ends: dict[str, int] = {}  # end tags of dropped elements that are still to come
         self.in_link = 0
         self.fresh = True  # the next text begins a block
@@ -95,30 +100,28 @@ class Dom(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.dropped and self._ends_dropped(tag):
-            self.dropped.clear()
+            self._undrop(0)
         if self.dropped:
-            if tag == "button" and tag in self.dropped:
-                del self.dropped[self.dropped.index(tag) :]
+            if tag == "button" and self.inside[tag]:
+                self._undrop(self.dropped.index(tag))
             if tag not in VOID and tag not in ("html", "head", "basefont", "bgsound"):
-                self.dropped.append(tag)
+                self._drop(tag)
             return
         if tag in DROPPED:
-            self.dropped.append(tag)
+            self._drop(tag)
             return
         if tag in VOID:
             if tag in ("br", "hr", "wbr") and tag != "wbr":
                 self.handle_data(" ")
             self.fresh |= tag == "hr"
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in ("html", "body") and self.at.get(tag):
             return
         if tag in ENDS_P:
             self._close({"p"}, P_SCOPE)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if len(self.open) >= MAX_DEPTH:
-            self.fresh |= tag in BLOCK
-            return
+        self.at.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK:
             d = dict(attrs)
             names = " ".join(filter(None, (d.get("class"), d.get("id"), d.get("role"))))
@@ -138,9 +141,18 @@ class Dom(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _drop(self, tag: str) -> None:
+        self.dropped.append(tag)
+        self.inside[tag] += 1
+
+    def _undrop(self, i: int) -> None:
+        for t in self.dropped[i:]:
+            self.inside[t] -= 1
+        del self.dropped[i:]
+
     def _ends_dropped(self, tag: str) -> bool:
         if tag == "body":
-            return all(t != "body" for t, _ in self.open)
+            return not self.at.get("body")
         if self.dropped == ["head"]:
             return tag not in IN_HEAD
         return tag in BLOCK and self.dropped[0] != "head" and not self.ends.get(self.dropped[0])
@@ -149,34 +161,28 @@ class Dom(HTMLParser):
         if tag in self.ends:
             self.ends[tag] -= 1
         if self.dropped:
-            for i in range(len(self.dropped) - 1, -1, -1):
-                if self.dropped[i] == tag:
-                    del self.dropped[i:]
-                    return
-            if all(t != tag for t, _ in self.open[1:]):
+            if self.inside[tag]:
+                self._undrop(next(i for i in range(len(self.dropped) - 1, -1, -1) if self.dropped[i] == tag))
                 return
-            self.dropped.clear()
-        if tag in ("html", "body"):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
-            if self.open[i][0] in ("td", "th", "table") and tag not in BLOCK:
+            if tag == "html" or not self.at.get(tag):
                 return
+            self._undrop(0)
+        if tag in ("html", "body") or not self.at.get(tag):
+            return
+        last = self.at[tag][-1]
+        if tag in BLOCK or all(not self.at.get(t) or self.at[t][-1] < last for t in CELLS):
+            self._pop(last)
 
     def _close(self, tags: set, scope: set) -> None:
-        found = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                found = i
-            elif self.open[i][0] in scope:
-                break
-        if found:
-            self._pop(found)
+        """Pops from the first of the tags that is open inside the innermost of the scope."""
+        edge = max((self.at[t][-1] for t in scope if self.at.get(t)), default=0)
+        inner = [places[bisect_right(places, edge)] for t in tags if (places := self.at.get(t)) and places[-1] > edge]
+        if inner:
+            self._pop(min(inner))
 
     def _pop(self, i: int) -> None:
         for t, _ in self.open[i:]:
+            self.at[t].pop()
             self.in_link -= t == "a"
             self.fresh |= t in BLOCK
         del self.open[i:]
@@ -247,7 +253,8 @@ class Forest:
         self.n = shift
         self.parent, self.kind, self.depth = np.array(parents), np.array(kinds), np.array(depth)
         self.rows, self.columns = np.array(rows), np.array(columns)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
 
     def unary(self, weight: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weight[self.columns], self.n)

@@ -119,3 +119,25 @@ def test_dropped_elements_without_end(start):
 def test_dropped_elements_with_end_stay_dropped():
     page = f"<head><title>t</title></head><body><article><p>{BODY}<button><div><p>no</p></div></button><noscript><article><p>{BODY}</p></article></noscript><p>{BODY}</article>"
     assert X.main_texts([page], *X.trained()) == [BODY.strip() + "\n\n" + BODY.strip()]
+
+
+@pytest.mark.parametrize("depth", [150, 198, 250, 3000])
+def test_depth_does_not_matter(depth):
+    """The article is found in nested blocks, and the sidebar stays out under tags that are never closed."""
+    page = f"<body>{'<div>' * depth}<article><p>{BODY}</p></article>{'</div>' * depth}<aside class=sidebar><p>Other posts <a href=x>one</a></p></aside>"
+    assert X.main_texts([page], *X.trained()) == [BODY.strip()]
+    page = f"<body>{'<b>' * depth}<article><p>{BODY}</p><p>{BODY}</p></article><aside class=sidebar><ul><li><a href=x>one</a></li></ul></aside>"
+    assert X.main_texts([page], *X.trained()) == [BODY.strip() + "\n\n" + BODY.strip()]
+
+
+def test_formulas_are_text():
+    page = f"<article><p>{BODY}<math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert X.main_texts([page], *X.trained()) == [BODY.strip() + " x=2 holds."]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    X.parse("<b>" * 60_000 + "<p>x</p>" * 20_000 + "</i>" * 20_000 + "<svg>" + "<g>" * 30_000 + "</h>" * 20_000)
+    assert time.perf_counter() - began < 10
