@@ -1,6 +1,8 @@
+import pickle
 import random
 
 import numpy as np
+import pytest
 
 from plumeria.llm import decontaminate as D
 
@@ -29,7 +31,7 @@ def sample(seed=2):
     words = lambda n: [r.choice(vocab) for _ in range(n)]
     items = [(i, words(r.randint(12, 60))) for i in range(60)]
     docs, want = [], []
-    for rate in (0, 0.05, 0.1, 0.15):
+    for rate in (0, 0.05, 0.1, 0.15, 0.19):
         for i, w in items:
             w = list(w)
             for _ in range(int(rate * len(w))):
@@ -59,6 +61,50 @@ def test_recall_and_verification_against_brute_force():
     assert copies <= got
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.19])
+def test_recall_is_what_was_asked_for(rate):
+    """At every rate of edits, substitutions, insertions and deletions alike; fewer walks where less is asked."""
+    r = random.Random(7)
+    vocab = ["w%d" % i for i in range(400)] + ["the", "of", "and"] * 60
+    words = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(i, words(r.randint(12, 120))) for i in range(300)]
+    docs = []
+    for _, w in items:
+        w = list(w)
+        for _ in range(int(rate * len(w))):
+            p = r.randrange(len(w))
+            w[p : p + 1] = r.choice([[], [r.choice(vocab)], [w[p], r.choice(vocab)]])
+        docs.append(words(r.randint(0, 80)) + w + words(r.randint(0, 80)))
+    for recall in (0.95, 0.6):
+        index = D.Index(items, recall=recall)
+        found = {d for d, k, *_ in index.matches([index.code(d) for d in docs]) if index.items[k][0] == d}
+        assert len(found) >= recall * len(docs)
+    assert D.walks_for(0.6, 0.8) < D.walks_for(0.95, 0.8) < D.walks_for(0.99, 0.8)
+
+
+def test_windows_are_sized_by_the_item():
+    assert all(D.window_size(n) == n for n in range(1, 6)) and all(0.75 * n <= D.window_size(n) <= 0.9 * n for n in range(7, 5000))
+
+
+def test_index_does_not_grow_with_the_walks():
+    """What is broadcast grows with the items' words: no table of steps times vocabulary."""
+    words = [[f"w{i}_{j}" for j in range(400)] for i in range(50)]
+    size = [len(pickle.dumps(D.Index(list(enumerate(words[:n]))))) for n in (25, 50)]
+    assert size[1] < 2.2 * size[0] and size[1] < 2000 * 50 * 400
+
+
+def test_items_that_share_a_passage():
+    """A thousand items with one preamble, in a document that holds it: few are looked at, and the right one is found."""
+    r = random.Random(5)
+    words = lambda n: ["w%d" % r.randrange(5000) for _ in range(n)]
+    preamble = words(25)
+    items = [(i, preamble + words(60)) for i in range(1000)]
+    index = D.Index(items)
+    doc = index.code(words(300) + preamble + words(300) + items[77][1] + words(50))
+    looked = index.candidates(doc)[0]
+    assert [(index.items[k][0], e) for _, k, *_, e in index.matches([doc])] == [(77, 0)] and len(looked) < 50_000
+
+
 def test_frame_edges(spark):
     bench = spark.createDataFrame([(1, "One two three four five six seven eight nine ten."), (2, None), (3, "..."), (4, "short item"), (5, "a a a a a a a a")], "item_id long, text string")
     rows = [(1, "x ONE two, three four five six seven eight nine ten y"), (1, "x ONE two, three four five six seven eight nine ten y"), (2, None), (3, ""), (None, "short item here"), (4, "one two three"), (5, "one two three four five SIX seven ate nine ten " * 500)]
@@ -68,7 +114,7 @@ def test_frame_edges(spark):
     assert by.count((1, 1, 0)) == 2 and (0, 4, 0) in by and sum(x[0] == 5 for x in by) == 500
     assert {(r["begin"], r["end"]) for r in got if r["doc_id"] == 1} == {(1, 11)}
     kept = D.decontaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4", "None"]
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4"]
     assert D.find_passages(docs.limit(0), bench).count() == 0 and D.find_passages(docs, bench.limit(0)).count() == 0
 
 
@@ -84,3 +130,11 @@ def test_planted_copies_are_all_found(spark):
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
     got = {(r["doc_id"], r["item_id"]) for r in D.find_passages(docs, bench).collect()}
     assert want and want <= got
+
+
+def test_null_item_ids_are_searched(spark):
+    bench = spark.createDataFrame([(None, "nine ten eleven twelve thirteen fourteen"), (7, "nine ten eleven twelve thirteen fourteen"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x nine ten eleven twelve thirteen fourteen y"), (2, "clean"), (None, "nine ten eleven twelve thirteen fourteen"), (1, "clean too")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["edits"]) for r in D.find_passages(docs, bench).collect())
+    assert got == [("1", "7", 0), ("1", "None", 0), ("None", "7", 0), ("None", "None", 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in D.decontaminated(docs, bench).collect()) == [(1, "clean too"), (2, "clean")]
