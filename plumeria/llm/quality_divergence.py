@@ -6,41 +6,41 @@ method's verdict compares two histograms of a document with those of each langua
 * character classes: lower-case letters, upper-case letters, digits, punctuation, other;
 * common words of the languages, and all other words together.
 
-The reference of a language is the mean histogram of the documents declared to be in it that
-pass the base rules and both length guards, over the whole table. The distance is that of Jensen
-and Shannon (root of the divergence, base 2: 0 to 1), taken to the nearest language, whatever the
-document declares. A document is rejected if a distance exceeds its threshold and the text is
-long enough for that histogram; shorter texts are not judged by it.
-
-One pass over the texts, without a shuffle; what crosses the network is one row of sums for each
-language and task. The references are (languages x bins) numbers, bounded by parameters.
+Both are learned from the table, for any language: the common words of a language are the ``COMMON``
+words (of letters only) that most of the documents declared to be in it hold; its reference is the
+mean histogram of those of them that pass the base rules and both length guards, if these are
+``MIN_DOCUMENTS`` at least. The distance is that of Jensen and Shannon (root of the divergence, base 2:
+0 to 1), taken to the nearest language. A document is rejected if a distance exceeds its threshold and
+the text is long enough for that histogram; shorter texts, and documents whose language is not
+declared or has no reference, are not judged by it. The ``LANGUAGES`` most frequent languages count
+as such; documents of others are not judged.
+
+Two passes over the texts. The first shuffles what is left of the words after counting them in each
+task, and keeps a few for each language and task before they are ranked; the second needs no
+shuffle: what crosses the network is one row of sums for each language and task. What comes to the
+driver are (languages x bins) numbers, bounded by parameters.
 Repeated windows are found inside the row: 64-bit hashes of the windows are sorted, and where
 only few windows repeat, their places are looked up directly.
 
-Nulls: a null text has no words (and fails the base rules); a null or unlisted language adds to
-no reference. With no reference at all (an empty table, say) only the base rules decide. Repeated
-rows stay repeated. Columns of the input named _quality, _char_distance, _word_distance or _kept are replaced.
+Nulls: a null text has no words (and fails the base rules); a null language adds to no reference.
+With no reference at all (an empty table, say) only the base rules decide. Repeated rows stay
+repeated. Columns of the input named _quality, _char_distance, _word_distance or _kept are replaced;
+others may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.llm.common import SPACE, let, saved
 
-LANGUAGES = ("en", "fr", "de", "es")
-#: The most common function words of each language.
-COMMON_WORDS = {
-    "en": "the of and to in is that for it with as on".split(),
-    "fr": "de la le et les des un une en du dans que".split(),
-    "de": "der die und in den von zu das mit ist auf im".split(),
-    "es": "de la que el en y los se del las por con".split(),
-}
+#: Languages with references at most, common words of each, and documents that a reference takes at least.
+LANGUAGES, COMMON, MIN_DOCUMENTS = 64, 12, 10
 #: Length guards, in words and in code points that are no white space.
 MIN_WORDS, MIN_CHARS = 80, 300
 #: Distances above which a document resembles no language.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.27
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
 #: With more repeated windows than this, places are found by sorting instead of by looking them up.
 FEW = 24
 
@@ -49,8 +49,15 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 COUNTS = "_quality"
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for words in COMMON_WORDS.values() for w in words})
+def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, common: int = COMMON) -> tuple[list[str], list[str]]:
+    """(languages, their common words), each sorted; ties in frequency go to the smaller name."""
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    words = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: F.lower(w)))
+    counts = known.where(F.col("lang").isin(langs)).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = counts.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("place", place).where(F.col("place") <= common)
+    return langs, sorted({r["word"] for r in top.select("word").collect()})
 
 
 def _repeat_words(words: Column, width: int = 3) -> Column:
@@ -86,15 +93,16 @@ def _repeat_words(words: Column, width: int = 3) -> Column:
     return let(hashes, counted)
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> DataFrame:
     """Adds the base counts, base_failed, and the two count vectors (char_counts, word_counts) in one column."""
+    listed = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     other = F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "")  # what is neither a lower-case letter nor white space
 
     def of_words(words: Column) -> Column:
-        common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary()))
-        counts = let(common, lambda c: F.transform(F.array(*map(F.lit, vocabulary())), lambda v: (F.size(c) - F.size(F.array_remove(c, v))).cast("long")))
+        common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
+        counts = let(common, lambda c: F.transform(listed, lambda v: (F.size(c) - F.size(F.array_remove(c, v))).cast("long")))
         return F.struct(F.size(words).cast("long").alias("n_words"), _repeat_words(words).alias("n_repeat_words"), counts.alias("common"))
 
     def of_other(rest: Column) -> Column:
@@ -131,15 +139,14 @@ def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.try_divide(x.cast("double"), total.cast("double")))
 
 
-def references(rated: DataFrame, lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES) -> dict[str, tuple[list[float], list[float]]]:
-    """language -> mean shares of the character classes and of the common words. At most one row for each language."""
+def references(rated: DataFrame, languages: list[str], n_words: int, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """language -> mean shares of the character classes and of the n_words common words and the rest. At most one row for each language."""
     q = F.col(COUNTS)
-    good = rated.where(F.col(lang_col).isin(*languages) & ~q["base_failed"] & (q["n_words"] >= MIN_WORDS) & (q["word_chars"] >= MIN_CHARS))
+    good = rated.where(F.col(lang_col).isin(languages) & ~q["base_failed"] & (q["n_words"] >= MIN_WORDS) & (q["word_chars"] >= MIN_CHARS))
     good = good.select(F.col(lang_col).alias("lang"), _shares(q["char_counts"], q["word_chars"]).alias("c"), _shares(q["word_counts"], q["n_words"]).alias("w"))
-    n_words = len(vocabulary()) + 1
-    means = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(5)] + [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_words)]
-    rows = good.groupBy("lang").agg(*means).collect()
-    return {r["lang"]: ([r[f"c{i}"] for i in range(5)], [r[f"w{i}"] for i in range(n_words)]) for r in sorted(rows, key=lambda r: r["lang"])}
+    means = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(5)] + [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(n_words + 1)]
+    rows = good.groupBy("lang").agg(F.count("*").alias("n"), *means).where(F.col("n") >= MIN_DOCUMENTS).collect()
+    return {r["lang"]: ([r[f"c{i}"] for i in range(5)], [r[f"w{i}"] for i in range(n_words + 1)]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
 def distance(shares: Column, reference: list[float]) -> Column:
@@ -153,11 +160,12 @@ def distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def judged(rated: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Adds to counted rows: _char_distance, _word_distance (null where too short) and _kept."""
-    refs = references(rated, lang_col)
+def judged(rated: DataFrame, languages: list[str], n_words: int, lang_col: str = "lang") -> DataFrame:
+    """Adds to counted rows: _char_distance, _word_distance (null where not judged) and _kept."""
+    refs = references(rated, languages, n_words, lang_col)
     q = F.col(COUNTS)
-    long_chars, long_words = q["word_chars"] >= MIN_CHARS, q["n_words"] >= MIN_WORDS
+    known = F.coalesce(F.col(lang_col).isin(list(refs)), F.lit(False))
+    long_chars, long_words = known & (q["word_chars"] >= MIN_CHARS), known & (q["n_words"] >= MIN_WORDS)
 
     def nearest(counts: Column, total: Column, k: int, long: Column) -> Column:
         if not refs:
@@ -173,5 +181,6 @@ def judged(rated: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def rate_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", drop_text: bool = False) -> DataFrame:
     """docs with the counts, _char_distance, _word_distance and _kept. The counts are written once, with the columns of docs (without the text if ``drop_text``)."""
-    counted = features(docs, text_col)
-    return judged(saved(counted.drop(text_col) if drop_text else counted, "quality"), lang_col)
+    languages, words = vocabulary(docs, text_col, lang_col)
+    counted = features(docs, words, text_col)
+    return judged(saved(counted.drop(text_col) if drop_text else counted, "quality"), languages, len(words), lang_col)

@@ -42,9 +42,10 @@ def js(p, q):
 
 
 def test_distances_on_whole_table(spark, sf_dir):
-    rated = Q.rate_documents(queries.table(spark, sf_dir, "documents"))
-    refs = Q.references(rated)
-    assert set(refs) == set(Q.LANGUAGES)
+    docs = queries.table(spark, sf_dir, "documents")
+    rated, (langs, words) = Q.rate_documents(docs), Q.vocabulary(docs)
+    refs = Q.references(rated, langs, len(words))
+    assert set(refs) == {"en", "fr", "de", "es"} == set(langs) and {"the", "of", "de", "la", "der", "el"} <= set(words)
     for c, w in refs.values():
         assert abs(sum(c) - 1) < 1e-9 and abs(sum(w) - 1) < 1e-9
     for r in rated.collect():
@@ -79,3 +80,22 @@ def test_empty_table_and_no_reference(spark):
     assert Q.rate_documents(none).count() == 0
     one = spark.createDataFrame([(1, "w " * 10, None)], "doc_id long, text string, lang string")
     assert Q.rate_documents(one).first()["_kept"] is False
+
+
+def speech(r, words, n=150):
+    """Invented text: a third function words of a language, the rest longer words of its own letters."""
+    return " ".join(r.choice(words) if r.random() < 0.35 else "".join(r.choice(words) for _ in range(3)) for _ in range(n)).capitalize() + "."
+
+
+def test_any_language_is_learned_and_unknown_ones_are_not_judged(spark):
+    r = random.Random(2)
+    talk = {x: ["".join(r.choice("aeioumnrst" if x != "zz" else "\u4e00\u4e8c\u4e09") for _ in range(2)) + x[0] for _ in range(14)] for x in ("aa", "bb", "zz", "fi")}
+    rows = [(x, speech(r, talk[x])) for x in ("aa", "bb", "zz") for _ in range(25)] + [("fi", speech(r, talk["fi"])) for _ in range(5)]
+    rows += [(None, speech(r, talk["fi"]))] * 2 + [("aa", " ".join("%08x" % r.randrange(2**32) for _ in range(150))) for _ in range(5)]
+    rows += [("aa", speech(r, talk["bb"])), ("aa", None), ("fi", "%% " * 100)]
+    docs = spark.createDataFrame([(i, t, x, i) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, n_words int")
+    out = {x["doc_id"]: x for x in Q.rate_documents(docs).collect()}
+    assert all(out[i]["_kept"] and out[i]["_word_distance"] is not None for i in range(75))
+    assert all(out[i]["_kept"] and out[i]["_word_distance"] is None for i in range(75, 82))  # too few to learn from, or not declared
+    assert not any(out[i]["_kept"] for i in range(82, 87)) and out[87]["_kept"] and not out[88]["_kept"] and not out[89]["_kept"]
+    assert Q.vocabulary(docs, languages=2)[0] == ["aa", "bb"] and len(Q.vocabulary(docs, common=3)[1]) <= 12
