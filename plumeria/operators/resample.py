@@ -1,17 +1,24 @@
-"""Resampling onto a common grid, mosaics, histograms and stretches."""
+"""Resampling onto a common grid, mosaics, histograms and stretches.
+
+NaN and null values are no pixels: they add neither value nor coverage. Frames without a transform and
+groups without an offset are left out. Repeated rows count each time, empty tables give no rows; other
+columns play no part.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeria.functions.columns import clean, valued
+
 
 def bilinear_resample(px: DataFrame, transform: DataFrame) -> DataFrame:
     """(group_id, x, y, value, coverage): pixels moved by (frame_id, a, b, tx, ty) and shared among the four cells they fall on.
 
     Flux is kept: the weights of a pixel add up to one. transform has one row for each frame.
     """
-    rows = px.join(transform, "frame_id")
+    rows = valued(px).select("frame_id", "group_id", "x", "y", "v").join(transform.select("frame_id", "a", "b", "tx", "ty").dropna(), "frame_id")
     u = (F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("tx")).alias("u")
     v = (F.col("b") * F.col("x") + F.col("a") * F.col("y") + F.col("ty")).alias("w")
     rows = rows.select("group_id", "v", u, v).withColumn("i", F.floor("u")).withColumn("j", F.floor("w"))
@@ -26,14 +33,14 @@ def bilinear_resample(px: DataFrame, transform: DataFrame) -> DataFrame:
 
 def mosaic(stacks: DataFrame, offsets: DataFrame) -> DataFrame:
     """(x, y, value, weight): stacks (group_id, x, y, value, weight) placed at (group_id, dx, dy), overlaps averaged by weight."""
-    placed = stacks.join(offsets, "group_id").select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "value", "weight")
+    placed = valued(stacks, "value").join(offsets.select("group_id", "dx", "dy"), "group_id").select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "value", "weight")
     return placed.groupBy("x", "y").agg(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("value"), F.sum("weight").alias("weight"))
 
 
 def histogram(px: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     """(bucket, n): 0 is below low, bins + 1 at high or above."""
-    return px.groupBy(F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    return valued(px).groupBy(F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def asinh_stretch(v: Column, softness: float) -> Column:
-    return F.asinh(v / softness) / F.asinh(F.lit(1 / softness))
+    return F.asinh(clean(v) / softness) / F.asinh(F.lit(1 / softness))

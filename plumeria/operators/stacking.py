@@ -1,26 +1,31 @@
 """Stacks: many values for each cell of a group combined into one, with outliers rejected.
 
-All take pixel rows (frame_id, group_id, x, y, v) and shuffle them once, by the cell; a group's
-cells are spread, so a group with most of the frames is no hot spot. NaN and null values are left
-out. Cells without values are absent. A cell of one frame keeps its value.
+All take pixel rows (frame_id, group_id, x, y, v) and shuffle them once, by the cell (those that
+weigh or choose frames once more, by the frame); a group's cells are spread, so a group with most of
+the frames is no hot spot. Quantiles and deviations are taken over the cell's window, so nothing is
+joined back.
+
+NaN and null values are left out. Cells without values are absent; a cell of one frame keeps its
+value. Null keys are keys like others, repeated rows count each time, empty tables give no rows, and
+other columns of px may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeria.functions.columns import MAD_TO_SIGMA, clean
+from plumeria.functions.columns import MAD_TO_SIGMA, fresh, valued
+from plumeria.functions.shared import delete, written
 
 CELL = ["group_id", "x", "y"]
+FRAME = ["group_id", "frame_id"]
+#: Clipping passes that share a shuffle where the number of passes is not known.
+TOGETHER = 4
 
 
 def _values(px: DataFrame) -> DataFrame:
-    return px.withColumn("v", clean("v")).where("v is not null")
+    return valued(px).select("frame_id", *CELL, "v")
 
 
 def basic_stack(px: DataFrame) -> DataFrame:
@@ -35,12 +40,13 @@ def basic_stack(px: DataFrame) -> DataFrame:
 
 
 def sigma_clip(px: DataFrame, k: float = 2.0, passes: int = 2) -> DataFrame:
-    """Rows that survive ``passes`` rounds of dropping what is over k deviations from the cell's mean. One shuffle for all."""
+    """Rows (all columns) that survive ``passes`` rounds of dropping what is over k deviations from the cell's mean. One shuffle for all."""
     cell = Window.partitionBy(*CELL)
-    rows = _values(px)
+    rows = valued(px)
+    m, s = (fresh(px.columns, c) for c in ("mean", "spread"))
     for _ in range(passes):
-        rows = rows.withColumn("m", F.avg("v").over(cell)).withColumn("s", F.stddev_pop("v").over(cell))
-        rows = rows.where(F.abs(F.col("v") - F.col("m")) <= k * F.col("s")).drop("m", "s")
+        rows = rows.withColumn(m, F.avg("v").over(cell)).withColumn(s, F.stddev_pop("v").over(cell))
+        rows = rows.where(F.abs(F.col("v") - F.col(m)) <= k * F.col(s)).drop(m, s)
     return rows
 
 
@@ -49,24 +55,31 @@ def sigma_clip_stack(px: DataFrame, k: float = 2.0, passes: int = 2) -> DataFram
 
 
 def sigma_clip_converged(px: DataFrame, k: float = 2.0) -> DataFrame:
-    """Clips each cell until nothing is dropped; (value, n, passes). A cell's values (one for each frame) meet in one task."""
-
-    @F.pandas_udf("value double, n long, passes int")
-    def converge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for cells in batches:
-            out = []
-            for values in cells:
-                v, passes = np.asarray(values, dtype=float), 0
-                while True:
-                    kept = v[np.abs(v - v.mean()) <= k * v.std() * (1 + 1e-15)]
-                    if len(kept) in (len(v), 0):
-                        break
-                    v, passes = kept, passes + 1
-                out.append((v.mean(), len(v), passes))
-            yield pd.DataFrame(out, columns=["value", "n", "passes"])
-
-    cells = _values(px).groupBy(*CELL).agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return cells.select(*CELL, converge("vs").alias("r")).select(*CELL, "r.*")
+    """Clips each cell until nothing is dropped; (value, n, passes), passes that dropped something.
+
+    ``TOGETHER`` passes share a shuffle; what is left of the cells that the last of them still changed is
+    written and goes on, the others are done. No cell is gathered in memory. A pass that would drop all
+    of a cell drops none.
+    """
+    cell = Window.partitionBy(*CELL)
+    far = F.abs(F.col("v") - F.avg("v").over(cell)) > F.stddev_pop("v").over(cell) * (k * (1 + 1e-15))
+    rows = _values(px).select(*CELL, "v", F.lit(0).alias("passes"), F.lit(True).alias("open"))
+    done, paths, last = None, [], []
+    while True:
+        for _ in range(TOGETHER):
+            rows = rows.withColumn("far", far).withColumn("dropped", F.count_if("far").over(cell)).withColumn("all", F.count("*").over(cell))
+            changed = (F.col("dropped") > 0) & (F.col("dropped") < F.col("all"))
+            rows = rows.where(~(F.col("far") & changed)).select(*CELL, "v", (F.col("passes") + changed.cast("int")).alias("passes"), changed.alias("open"))
+        rows = written(rows, "clipped", paths)
+        part = rows.where("not open").groupBy(*CELL).agg(F.avg("v").alias("value"), F.count("*").alias("n"), F.max("passes").alias("passes"))
+        part = written(part, "stacked")
+        done = part if done is None else done.unionByName(part)
+        rows = rows.where("open")
+        delete(px.sparkSession, last)
+        if rows.isEmpty():
+            delete(px.sparkSession, paths)
+            return done
+        last, paths = paths, []
 
 
 def minmax_reject_stack(px: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
@@ -78,9 +91,8 @@ def minmax_reject_stack(px: DataFrame, low: int = 1, high: int = 1) -> DataFrame
 
 
 def _with_quantiles(px: DataFrame, low: float, high: float) -> DataFrame:
-    rows = _values(px)
-    q = rows.groupBy(*CELL).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
-    return rows.join(q, CELL).select(*rows.columns, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = F.percentile("v", F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*CELL))
+    return _values(px).withColumn("q", q).select(*CELL, "v", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def winsorised_stack(px: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -93,8 +105,7 @@ def percentile_clip_stack(px: DataFrame, low: float = 0.1, high: float = 0.9) ->
 
 
 def _with_median(px: DataFrame) -> DataFrame:
-    rows = _values(px)
-    return rows.join(rows.groupBy(*CELL).agg(F.median("v").alias("med")), CELL)
+    return _values(px).withColumn("med", F.median("v").over(Window.partitionBy(*CELL)))
 
 
 def median_absolute_deviation(px: DataFrame) -> DataFrame:
@@ -104,34 +115,37 @@ def median_absolute_deviation(px: DataFrame) -> DataFrame:
 
 def mad_clip_stack(px: DataFrame, k: float = 3.0) -> DataFrame:
     """Mean of values within k robust deviations of the median."""
-    rows = _values(px).join(median_absolute_deviation(px), CELL)
-    near = F.abs(F.col("v") - F.col("median")) <= k * MAD_TO_SIGMA * F.col("mad")
-    return rows.where(near).groupBy(*CELL).agg(F.avg("v").alias("value"), F.count("*").alias("n"))
+    away = F.abs(F.col("v") - F.col("med"))
+    rows = _with_median(px).withColumn("mad", F.median(away).over(Window.partitionBy(*CELL)))
+    return rows.where(away <= k * MAD_TO_SIGMA * F.col("mad")).groupBy(*CELL).agg(F.avg("v").alias("value"), F.count("*").alias("n"))
 
 
 def frame_levels(px: DataFrame) -> DataFrame:
     """(group_id, frame_id, level, spread) of each frame: median and population deviation."""
-    return _values(px).groupBy("group_id", "frame_id").agg(F.median("v").alias("level"), F.stddev_pop("v").alias("spread"))
+    return _values(px).groupBy(*FRAME).agg(F.median("v").alias("level"), F.stddev_pop("v").alias("spread"))
 
 
 def weighted_stack(px: DataFrame) -> DataFrame:
     """Frames brought to level zero and weighted by inverse variance. Frames without spread have no weight."""
-    rows = _values(px).join(frame_levels(px), ["group_id", "frame_id"])
+    frame = Window.partitionBy(*FRAME)
+    rows = _values(px).withColumn("level", F.median("v").over(frame)).withColumn("spread", F.stddev_pop("v").over(frame))
     w = F.try_divide(F.lit(1.0), F.col("spread") * F.col("spread"))
     rows = rows.withColumn("w", w).withColumn("u", F.col("v") - F.col("level"))
     return rows.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("u") * F.col("w")), F.sum("w")).alias("value"), F.sum("w").alias("weight"))
 
 
 def select_frames(px: DataFrame, share: float = 0.5, score: Column | None = None) -> DataFrame:
-    """Rows of the frames with the lowest score (spread) in each group, ``share`` of them, rounded up; ties by frame.
+    """Rows (all columns) of the frames with the lowest score (spread) in each group, ``share`` of them, rounded up; ties by frame.
 
-    Ranks are taken over one row for each frame, not over pixels.
+    Frames without any value have no score and are not chosen. Ranks are taken over one row for each frame, not over pixels.
     """
     scored = frame_levels(px).withColumn("score", F.col("spread") if score is None else score)
     group = Window.partitionBy("group_id")
     ranked = scored.withColumn("rank", F.row_number().over(group.orderBy("score", "frame_id"))).withColumn("of", F.count("*").over(group))
-    best = ranked.where(F.col("rank") <= F.ceil(F.col("of") * share)).select("group_id", "frame_id")
-    return px.join(best, ["group_id", "frame_id"], "left_semi")
+    names = [fresh(px.columns, f"best_{c}") for c in FRAME]
+    best = ranked.where(F.col("rank") <= F.ceil(F.col("of") * share)).select(*(F.col(c).alias(n) for c, n in zip(FRAME, names)))
+    group, frame = (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(FRAME, names))
+    return px.join(best, group & frame, "left_semi")
 
 
 def selected_stack(px: DataFrame, share: float = 0.5) -> DataFrame:

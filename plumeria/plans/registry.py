@@ -54,7 +54,11 @@ def p02_sigma_clip_stack(px):
     return rounded(stacking.sigma_clip_stack(px, 2.0, 2))
 
 
-@query()
+@query("""r AS (SELECT 0 AS pass, group_id, x, y, v, TRUE AS changed FROM px
+UNION ALL SELECT pass + 1, group_id, x, y, v, n > kept FROM (SELECT *, count(*) OVER c AS n, count(*) FILTER (WHERE near) OVER c AS kept FROM
+(SELECT *, abs(v - avg(v) OVER c) <= 2::DOUBLE * (1 + 1e-15::DOUBLE) * stddev_pop(v) OVER c AS near FROM r WHERE changed WINDOW c AS (PARTITION BY group_id, x, y)) WINDOW c AS (PARTITION BY group_id, x, y))
+WHERE near OR kept = 0)
+SELECT group_id, x, y, round(avg(v), 6) AS value, count(*) AS n, (pass - 1)::INT AS passes FROM r WHERE NOT changed GROUP BY ALL""")
 def p03_sigma_clip_converged(px):
     return rounded(stacking.sigma_clip_converged(px, 2.0))
 
@@ -139,7 +143,7 @@ SELECT frame_id, arg_min(master_id, (distance, master_id)) AS master_id, min(dis
 def p13_nearest_master(px):
     t = px.groupBy("frame_id", "group_id").agg(F.sum(F.floor(F.col("v") * 65536)).alias("t"))
     masters = t.where("group_id = 0").select(F.col("frame_id").alias("master_id"), "t")
-    return calibration.nearest_by_scalar(t.where("group_id > 0"), masters, "frame_id", "master_id", "t", 16)
+    return calibration.nearest_by_scalar(t.where("group_id > 0"), masters, "frame_id", "master_id", "t")
 
 
 @query("SELECT frame_id, (x // 4)::INT AS tx, (y // 4)::INT AS ty, round(median(v), 6) AS background FROM px GROUP BY ALL")
@@ -177,7 +181,8 @@ def p18_segments(px):
     return detection.segments(px, 8, 8, 0.15)
 
 
-ORACLE_SQL["p18_segments"] = ORACLE_SQL["p18_segments"].replace("WITH ", "WITH RECURSIVE ", 1)
+for name in ("p03_sigma_clip_converged", "p18_segments"):
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("""s AS (SELECT frame_id, sum(v * v) AS f, sum(v * v * x) AS sx, sum(v * v * y) AS sy, sum(v * v * (x * x + y * y)) AS s2 FROM px GROUP BY ALL)
@@ -209,22 +214,30 @@ def p21_cross_match(px):
 STARS = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x) AS k FROM px) WHERE k <= 6)"
 
 
-@query(f"""{STARS}, t AS (SELECT a.group_id, a.frame_id, list_sort([(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), (a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y), (b.x-c.x)*(b.x-c.x)+(b.y-c.y)*(b.y-c.y)]) AS d
+CORNER = "{{'d': ({a}.x-{b}.x)*({a}.x-{b}.x)+({a}.y-{b}.y)*({a}.y-{b}.y), 'k': {c}.k, 'x': {c}.x, 'y': {c}.y}}"
+ALIKE = " AND ".join(f"abs(t.c[{i}].d * r.c[3].d - r.c[{i}].d * t.c[3].d) * 20 <= t.c[3].d * r.c[3].d" for i in (1, 2))
+TRIANGLES = f"""{STARS}, t AS (SELECT a.group_id, a.frame_id, list_sort([{CORNER.format(a="a", b="b", c="c")}, {CORNER.format(a="a", b="c", c="b")}, {CORNER.format(a="b", b="c", c="a")}]) AS c
 FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.k < b.k JOIN s c ON b.frame_id = c.frame_id AND b.k < c.k),
-q AS (SELECT group_id, frame_id, d[1] * 20 // d[3] AS q1, d[2] * 20 // d[3] AS q2 FROM t),
-f AS (SELECT group_id, min(frame_id) AS frame_id FROM px GROUP BY ALL)
-SELECT q.group_id, q.frame_id, count(*)::BIGINT AS votes FROM q JOIN f ON q.group_id = f.group_id AND q.frame_id <> f.frame_id
-JOIN q r ON r.frame_id = f.frame_id AND r.q1 = q.q1 AND r.q2 = q.q2 GROUP BY ALL""")
+f AS (SELECT group_id, min(frame_id) AS frame_id FROM px GROUP BY ALL),
+alike AS (SELECT t.group_id, t.frame_id, t.c, r.c AS e FROM t JOIN f ON t.group_id = f.group_id AND t.frame_id <> f.frame_id JOIN t r ON r.frame_id = f.frame_id
+WHERE t.c[3].d > 0 AND r.c[3].d > 0 AND {ALIKE})"""
+
+
+@query(f"{TRIANGLES} SELECT group_id, frame_id, count(*)::BIGINT AS votes FROM alike GROUP BY ALL")
 def p22_triangle_votes(px):
     return registration.triangle_votes(registration.brightest(px, 6), 20)
 
 
+#: Least squares over pairs p of stars.
+FIT = """z AS (SELECT frame_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(w) AS sw, sum(x*x+y*y) AS sq, sum(x*u+y*w) AS dt, sum(x*w-y*u) AS cr FROM p GROUP BY ALL),
+ab AS (SELECT *, (dt - (sx*su+sy*sw)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS a, (cr - (sx*sw-sy*su)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS b FROM z)
+SELECT frame_id, round(a, 6) AS a, round(b, 6) AS b, round((su - a*sx + b*sy)/n, 6) AS tx, round((sw - b*sx - a*sy)/n, 6) AS ty FROM ab"""
+
+
 @query(f"""{STARS}, f AS (SELECT group_id, min(frame_id) AS frame_id FROM px GROUP BY ALL),
 r AS (SELECT s.group_id, k, x AS u, y AS w FROM s JOIN f USING (group_id, frame_id)),
 p AS (SELECT s.frame_id, x::DOUBLE AS x, y::DOUBLE AS y, u::DOUBLE AS u, w::DOUBLE AS w FROM s JOIN r USING (group_id, k)),
-z AS (SELECT frame_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(u) AS su, sum(w) AS sw, sum(x*x+y*y) AS sq, sum(x*u+y*w) AS dt, sum(x*w-y*u) AS cr FROM p GROUP BY ALL),
-ab AS (SELECT *, (dt - (sx*su+sy*sw)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS a, (cr - (sx*sw-sy*su)/n) / nullif(sq - (sx*sx+sy*sy)/n, 0) AS b FROM z)
-SELECT frame_id, round(a, 6) AS a, round(b, 6) AS b, round((su - a*sx + b*sy)/n, 6) AS tx, round((sw - b*sx - a*sy)/n, 6) AS ty FROM ab""")
+{FIT}""")
 def p23_similarity_transform(px):
     return rounded(registration.similarity_transform(registration.rank_pairs(registration.brightest(px, 6))))
 
@@ -332,3 +345,22 @@ def p30_live_sessions(spark, sf_dir):
     """Sessions that the watermark has closed."""
     out = live.drained(live.session_stack(_cents(spark, sf_dir), "user_id"), "sessions")
     return out.select(F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "user_id", "n", F.col("total").alias("cents"))
+
+
+@query(f"""{TRIANGLES}, n AS (SELECT frame_id, c[i] AS s, e[i] AS o, count(*) AS n FROM alike, range(1, 4) r(i) GROUP BY ALL),
+k AS (SELECT frame_id, s, o, row_number() OVER (PARTITION BY frame_id, s.k ORDER BY n DESC, s.k, o.k) AS of_s, row_number() OVER (PARTITION BY frame_id, o.k ORDER BY n DESC, s.k, o.k) AS of_o
+FROM (SELECT frame_id, {{'k': s.k, 'x': s.x, 'y': s.y}} AS s, {{'k': o.k, 'x': o.x, 'y': o.y}} AS o, sum(n) AS n FROM n GROUP BY 1, 2, 3)),
+p AS (SELECT frame_id, s.x::DOUBLE AS x, s.y::DOUBLE AS y, o.x::DOUBLE AS u, o.y::DOUBLE AS w FROM k WHERE of_s = 1 AND of_o = 1
+UNION ALL SELECT frame_id, x::DOUBLE, y::DOUBLE, x::DOUBLE, y::DOUBLE FROM s JOIN f USING (group_id, frame_id)),
+tr AS ({FIT.replace("z AS", "SELECT * FROM (WITH z AS", 1)})),
+m AS (SELECT group_id, v, a * x - b * y + tx AS u, b * x + a * y + ty AS w FROM px JOIN tr USING (frame_id) WHERE a IS NOT NULL),
+d AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(di, dj)),
+q AS (SELECT group_id, v, floor(u)::BIGINT + di AS x, floor(w)::BIGINT + dj AS y,
+(CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS c FROM m, d)
+SELECT group_id, x, y, round(sum(v * c) / sum(c) + 1e-9::DOUBLE, 5) AS value, round(sum(c) + 1e-9::DOUBLE, 5) AS coverage FROM q WHERE c > 0 GROUP BY ALL HAVING sum(c) > 0.001""")
+def p31_registered_stack(px):
+    """Frames brought onto their group's first one by the stars that triangles pair, and stacked there."""
+    pairs = registration.voted_pairs(registration.brightest(px, 6), 20)
+    stack = resample.bilinear_resample(px, rounded(registration.similarity_transform(pairs)))
+    off_ties = lambda c: (F.col(c) + 1e-9).alias(c)
+    return rounded(stack.where("coverage > 0.001").select("group_id", "x", "y", off_ties("value"), off_ties("coverage")), 5)

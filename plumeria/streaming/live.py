@@ -1,7 +1,10 @@
 """The same aggregates over frames that arrive: Structured Streaming.
 
-Rows later than the watermark are dropped by Spark; windows and sessions are given out once they
-can't change any more (append mode), running aggregates after every batch (complete mode).
+Files are read in order of their modification time, one for each batch. Rows later than the watermark
+are dropped by Spark, so results equal those over the whole table where files arrive in time order, or
+out of it by less than the watermark's patience. Windows and sessions are given out once they can't
+change any more (append mode), running aggregates after every batch (complete mode). Null and NaN
+values add nothing; rows without a time belong to no window.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeria.functions.columns import clean
 from plumeria.functions.shared import new_path, until_exit
 
 
@@ -24,17 +28,18 @@ def arriving(spark: SparkSession, folder: str, name: str, files_per_batch: int =
 
 
 def running_stack(events: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return events.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max"))
+    v = clean(value)
+    return events.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
 def window_stack(events: DataFrame, keys: list[str], width: str = "1 hour", late: str = "1 hour", value: str = "value") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), *keys)
-    return w.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("started"), *keys, "n", "total")
+    return w.agg(F.count("*").alias("n"), F.sum(clean(value)).alias("total")).select(F.col("w.start").alias("started"), *keys, "n", "total")
 
 
 def session_stack(events: DataFrame, key: str, gap: str = "10 minutes", late: str = "1 hour", value: str = "value") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key)
-    return w.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), key, "n", "total")
+    return w.agg(F.count("*").alias("n"), F.sum(clean(value)).alias("total")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), key, "n", "total")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

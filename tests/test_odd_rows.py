@@ -1,0 +1,153 @@
+"""NaN and null pixels, columns with clashing names, repeated rows and empty tables, for the frame operators."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumeria.operators import calibration, detection, registration, resample, stacking, timeline
+
+#: Names that operators use inside, and names in other cases.
+CLASHING = ["mean", "spread", "M", "s", "dark", "flat", "rank", "match", "_cut", "_wanted", "lo", "hi", "med", "q", "far", "open", "passes", "best_group_id", "master_value", "Master_X", "cut", "inside"]
+
+
+def frames(seed=1, n=6, width=4):
+    r = random.Random(seed)
+    return [(f, f % 2, x, y, r.randrange(-64, 65) / 64) for f in range(n) for y in range(width) for x in range(width)]
+
+
+def made(spark, rows, extra=True):
+    px = spark.createDataFrame(rows, "frame_id long, group_id int, x int, y int, v double")
+    return px.select("*", *(F.lit(7).alias(c) for c in CLASHING)) if extra else px
+
+
+OPERATORS = {
+    "basic": stacking.basic_stack,
+    "sigma": stacking.sigma_clip_stack,
+    "converged": stacking.sigma_clip_converged,
+    "minmax": stacking.minmax_reject_stack,
+    "winsorised": stacking.winsorised_stack,
+    "mad": stacking.median_absolute_deviation,
+    "mad_clip": stacking.mad_clip_stack,
+    "percentile": stacking.percentile_clip_stack,
+    "weighted": stacking.weighted_stack,
+    "selected": stacking.selected_stack,
+    "tile": lambda px: calibration.tile_background(px, 2),
+    "hot": lambda px: calibration.hot_cells(px, 1.0),
+    "maxima_1d": lambda px: detection.local_maxima_1d(px, 4, 0.1),
+    "maxima_2d": lambda px: detection.local_maxima_2d(px, 0.1),
+    "segments": lambda px: detection.segments(px, 4, 4, 0.1),
+    "moments": lambda px: detection.source_moments(px, ["frame_id"]),
+    "quality": lambda px: detection.frame_quality(px, 0.1),
+    "brightest": lambda px: registration.brightest(px, 5),
+    "votes": lambda px: registration.triangle_votes(registration.brightest(px, 5)),
+    "voted_pairs": lambda px: registration.voted_pairs(registration.brightest(px, 5)),
+    "rank_pairs": lambda px: registration.rank_pairs(registration.brightest(px, 5)),
+    "scale": registration.photometric_scale,
+    "resample": lambda px: resample.bilinear_resample(px, px.select("frame_id").distinct().selectExpr("frame_id", "1.0D a", "0.0D b", "0.25D tx", "0.5D ty", "3 v")),
+    "histogram": lambda px: resample.histogram(px, -1, 1, 8),
+}
+
+
+def values(df):
+    plain = lambda x: float(f'{x:.6g}') if isinstance(x, float) else tuple(plain(y) for y in x) if isinstance(x, tuple) else x
+    return sorted((tuple(plain(x) for x in row) for row in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_nan_and_null_are_no_pixels(spark, name):
+    """Pixels without a number count as absent, and other columns play no part."""
+    rows, odd = frames(), random.Random(3)
+    kept = [r for r in rows if odd.random() < 0.8]
+    lost = [(*r[:4], odd.choice([math.nan, None])) for r in rows if r not in kept]
+    f = OPERATORS[name]
+    with_odd = f(made(spark, kept + lost + [(99, 1, 0, 0, math.nan)]))
+    assert not any(isinstance(x, float) and math.isnan(x) for row in with_odd.collect() for x in row)
+    want = values(f(made(spark, kept, extra=False)))
+    assert values(with_odd) == want and (want or name in ("votes",))
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_tables(spark, name):
+    assert OPERATORS[name](made(spark, [])).count() == 0
+
+
+def test_operators_on_rows_keep_all_columns(spark):
+    px = made(spark, frames() + [(1, 1, 0, 0, math.nan), (2, 0, None, 0, 1.0)])
+    flat = spark.createDataFrame([(0, 0, 2.0), (1, 0, 0.0), (2, 0, math.nan), (3, 0, 4.0)], "x int, y int, value double")
+    clipped, chosen = stacking.sigma_clip(px), stacking.select_frames(px, 0.5)
+    less, over = calibration.subtract_master(px, flat), calibration.divide_flat(px, flat)
+    for out in (clipped, chosen, less, over):
+        assert out.columns == px.columns and all(r["dark"] == r["mean"] == r["match"] == 7 for r in out.collect())
+    assert less.count() == over.count() == px.count()
+    before = {(r.frame_id, r.x, r.y): r.v for r in px.collect() if r.v == r.v}
+    for r in less.collect():
+        want = before.get((r.frame_id, r.x, r.y))
+        shift = {0: 2.0, 1: 0.0, 3: 4.0}.get(r.x, 0.0) if r.y == 0 else 0.0
+        assert r.v is None or abs(r.v - (want - shift)) < 1e-12
+    for r in over.collect():
+        scale = {0: 2.0, 3: 4.0}.get(r.x) if r.y == 0 else None
+        assert (r.v is None) if scale is None or (r.frame_id, r.x, r.y) not in before else r.v is None or abs(r.v - before[r.frame_id, r.x, r.y] * 2.0 / scale) < 1e-12
+
+
+@pytest.mark.parametrize("ranges", [1, 7, None])
+def test_nearest_against_all_pairs(spark, ranges):
+    r = random.Random(5)
+    left = [(i, r.choice([float(r.randrange(30)), None, math.nan, 900.0])) for i in range(120)]
+    right = [(1000 - i, float(r.choice([3, 3, 3, r.randrange(10, 25)]))) for i in range(60)] + [(5, None), (6, math.nan), (None, 4.0)]
+    a = spark.createDataFrame(left, "frame_id long, t double").withColumn("range", F.lit(1))
+    b = spark.createDataFrame(right, "master_id long, t double").withColumn("bucket", F.lit(1))
+    got = {x.frame_id: (x.distance, x.master_id) for x in calibration.nearest_by_scalar(a, b, "frame_id", "master_id", "t", ranges).collect()}
+    good = [(i, t) for i, t in right if i is not None and t is not None and t == t]
+    want = {i: min((abs(t - u), k) for k, u in good) for i, t in left if t is not None and t == t}
+    assert got == want
+    assert {x.master_id for x in calibration.nearest_by_scalar(a, b.limit(0), "frame_id", "master_id", "t").collect()} == {None}
+
+
+def test_segments_of_large_ids(spark):
+    """Ids near the end of 64 bits, and segments that reach over the edge of no row."""
+    big = 2**63 - 5
+    px = made(spark, [(big, 0, 3, 0, 1.0), (big, 0, 0, 1, 1.0), (big, 0, 1, 1, 1.0), (big + 1, 0, 3, 0, 1.0)], extra=False)
+    assert values(detection.segments(px, 4, 4, 0.5)) == sorted([(big, 3, 0, 3), (big, 0, 1, 4), (big, 1, 1, 4), (big + 1, 3, 0, 3)], key=repr)
+
+
+def test_converged_against_a_loop(spark):
+    r = random.Random(9)
+    cells = {c: [r.gauss(0, 1) * r.choice([1, 1, 1, 30]) for _ in range(r.choice([1, 2, 5, 60]))] for c in range(12)}
+    rows = [(f, 0, c, 0, v) for c, vs in cells.items() for f, v in enumerate(vs)]
+    got = {x.x: (x.value, x.n, x.passes) for x in stacking.sigma_clip_converged(made(spark, rows)).collect()}
+    for c, v in cells.items():
+        passes = 0
+        while True:
+            m = sum(v) / len(v)
+            s = math.sqrt(sum((x - m) ** 2 for x in v) / len(v))
+            kept = [x for x in v if abs(x - m) <= 2 * s * (1 + 1e-15)]
+            if len(kept) in (len(v), 0):
+                break
+            v, passes = kept, passes + 1
+        assert abs(got[c][0] - sum(v) / len(v)) < 1e-9 and got[c][1:] == (len(v), passes)
+
+
+def test_shapes_near_a_bin_edge_vote(spark):
+    """Squared sides of 400 and of 361 out of 1600 lie in two bins; they are alike, 36 is not."""
+    tri = lambda f, d: [(f, 0, 0, 0, 9.0), (f, 0, 40, 0, 8.0), (f, 0, d, 0, 7.0)]
+    stars = registration.brightest(made(spark, tri(0, 20) + tri(1, 19) + tri(2, 6)), 3)
+    assert values(registration.triangle_votes(stars)) == [(0, 1, 1)]
+
+
+def test_registration_recovers_a_shift(spark):
+    r = random.Random(4)
+    sky = [(r.randrange(200), r.randrange(200)) for _ in range(7)]
+    rows = [(0, 0, x, y, 100.0 - k) for k, (x, y) in enumerate(sky)] + [(1, 0, x + 13, y - 5, 100.0 - k) for k, (x, y) in enumerate(sky[::-1])]
+    fits = {x.frame_id: x for x in registration.similarity_transform(registration.voted_pairs(registration.brightest(made(spark, rows), 7))).collect()}
+    assert [round(fits[1][c], 6) for c in ("a", "b", "tx", "ty")] == [1, 0, -13, 5] and [round(fits[0][c], 6) for c in ("a", "b", "tx", "ty")] == [1, 0, 0, 0]
+
+
+def test_as_of_replaces_its_column_and_keeps_others(spark):
+    e = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a", 1.0), (2, "2024-01-02 10:00:00", "b", 2.0), (3, None, "a", 3.0)], "event_id int, ts string, kind string, value double")
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "value", F.lit(None).cast("long").alias("user"), *(F.lit(7).alias(c) for c in CLASHING))
+    out = timeline.as_of(e, "user", F.col("kind") == "a", F.col("kind") == "b").collect()
+    assert len(out) == 1 and out[0]["match"]["event_id"] == 1 and out[0]["_cut"] == out[0]["cut"] == 7
+    s = timeline.capture_sessions(e.withColumn("value", F.lit(math.nan)), "user").collect()
+    assert sorted((x["n"], x["total"]) for x in s) == [(1, None), (1, None)]
