@@ -5,6 +5,9 @@ Every rule is a regular expression over ``host + path + query`` together with th
 token occurs among the URLs is counted over the whole table; the rule is filed under its rarest
 one. A URL's tokens fetch the rules filed under them, and only these run their expression.
 
+Rules come as a list or as a table of any size (:func:`rules_from_table`). A rule whose pattern has no whole
+literal token is tried on every URL.
+
 Two layers: listed (host, path) rules, where the longest that fits wins; and pattern rules in
 the style of blocking lists, asked only where no listed rule fits. Rules with equal rank: allow
 before block, then by name.
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ascii_lower
+from plumeria.llm.common import ascii_lower, saved
 
 #: More rules than this and the index is joined by a shuffle instead of a broadcast.
 BROADCAST_RULES = 50_000
@@ -40,10 +43,10 @@ class Rule:
 
 
 def host_path_rule(verdict: str, rule: str) -> Rule:
-    """``host/path``: fits the host and its subdomains where the URL's path starts with the path."""
+    """``host/path``: fits the host and its subdomains where the URL's path starts with the path; ``host`` alone fits any path."""
     host, slash, path = rule.partition("/")
     path = slash + path
-    regex = r"^(?:[^/?#]*\.)?" + re.escape(host) + re.escape(path)
+    regex = r"^(?:[^/?#]*\.)?" + re.escape(host) + (re.escape(path) if path else "(?:[/?]|$)")
     whole = [t for t in re.split(r"[^a-z0-9]+", host.lower()) if t]
     parts = re.split(r"[^a-z0-9]+", path.lower())
     whole += [t for t in parts[:-1] if t]  # the last may go on in the URL
@@ -77,7 +80,8 @@ HOST_RULES = [
 PATTERN_RULES = [
     pattern_rule("block", p)
     for p in (
-        "||spam-farm.", "||link-farm.", "||adserver.", "||ads.", "||doubleclick.", "||casino.", "||porn.", "||xxx.",
+        "||spam-farm.", "||link-farm.", "||adserver.", "||ads.", "||ads-track.", "||doubleclick.", "||casino.", "||casino-win.", "||free-bets.",
+        "||cheap-pills.", "||adult-x.", "||porn.", "||xxx.",
         "/adclick/", "/affiliate/", "/casino/", "/poker/", "/porn/", "/viagra/", "/warez/", "/banner/ads/",
         "/wp-login.php^", "/cgi-bin/formmail.", "?action=login&", "/torrent/download/",
     )
@@ -100,6 +104,36 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, verdict string, regex string, tokens array<string>, layer int, rank int")
 
 
+def rules_from_table(table: DataFrame) -> DataFrame:
+    """Compiles a table (kind, verdict, rule) to what :func:`judge_urls` takes, without Python.
+
+    kind ``listed``: host/path as :func:`host_path_rule`; ``pattern``: as :func:`pattern_rule`. Rows of another
+    kind, with a verdict other than allow and block, or with a null or empty rule are left out; equal rows count once.
+    """
+    rows = table.select("kind", "verdict", F.col("rule").alias("name")).where("verdict in ('allow', 'block') and name != ''").distinct()
+    quoted = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9*^/])", r"\\$1")
+    slash = F.instr("name", "/")
+    host = F.lower(F.when(slash > 0, F.substring("name", F.lit(1), slash - 1)).otherwise(F.col("name")))
+    path = F.when(slash > 0, F.substring("name", slash, F.length("name"))).otherwise(F.lit(""))
+    literal = lambda c: F.regexp_replace(quoted(c), r"([*^])", r"\\$1")
+    path_tokens = F.split(F.lower(path), "[^a-z0-9]+")
+    host_tokens = F.concat(F.split(host, "[^a-z0-9]+"), F.slice(path_tokens, F.lit(1), F.size(path_tokens) - 1))
+    listed = rows.where("kind = 'listed'").select(
+        "name", "verdict", F.concat(F.lit(r"^(?:[^/?#]*\.)?"), literal(host), F.when(path == "", F.lit("(?:[/?]|$)")).otherwise(literal(path))).alias("regex"), host_tokens.alias("tokens"), F.lit(1).alias("layer")
+    )
+    start = F.startswith("name", F.lit("||"))
+    body = F.when(start, F.substring("name", F.lit(3), F.length("name"))).otherwise(F.col("name"))
+    made = F.replace(F.replace(quoted(body), F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(r"(?:[^A-Za-z0-9_.%-]|$)"))
+    whole = F.lit("(?<=[^A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])")
+    first = F.when(start, F.regexp_extract(body, "^[A-Za-z0-9]+(?=[^A-Za-z0-9*])", 0)).otherwise(F.lit(""))
+    pattern = rows.where("kind = 'pattern'").select(
+        "name", "verdict", F.concat(F.lit("(?s)"), F.when(start, F.lit(r"^(?:[^/?#]*\.)?")).otherwise(F.lit("")), made).alias("regex"),
+        F.transform(F.concat(F.array(first), F.regexp_extract_all(body, whole, F.lit(0))), lambda t: F.lower(t)).alias("tokens"), F.lit(0).alias("layer"),
+    )
+    tokens = F.array_distinct(F.filter("tokens", lambda t: t != ""))
+    return listed.unionByName(pattern).select("name", "verdict", "regex", F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))).alias("tokens"), "layer", F.length("name").alias("rank"))
+
+
 def token_index(urls: DataFrame, rules: DataFrame, small: bool = False) -> DataFrame:
     """token -> array of the rules whose rarest token it is. urls: a column ``tokens``. small: the rules may be broadcast."""
     of_rules = rules.select("name", "layer", F.explode("tokens").alias("token"))
@@ -119,15 +153,21 @@ def token_index(urls: DataFrame, rules: DataFrame, small: bool = False) -> DataF
     )
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, url, host, path, rule, verdict, pattern): rule is the listed rule, pattern the pattern that decided."""
     spark = pages.sparkSession
     id_, url = F.col(id_col), F.col(url_col)
     urls = pages.select(id_.alias("id"), url.alias("url"), *(c.alias(k) for k, c in parsed(url).items()))
     urls = urls.withColumn("subject", F.concat("host", "path", "query"))
-    urls = urls.withColumn("tokens", F.array_distinct(F.split(ascii_lower(F.col("subject")), "[^a-z0-9]+")))
-    small = len(rules) <= BROADCAST_RULES
-    index = token_index(urls, rules_frame(spark, rules), small)
+    # every URL has the empty token, under which rules without one are filed
+    urls = urls.withColumn("tokens", F.array_union(F.split(ascii_lower(F.col("subject")), "[^a-z0-9]+"), F.array(F.lit(""))))
+    if isinstance(rules, DataFrame):
+        rules = saved(rules, "rules")
+        n = rules.count()
+    else:
+        rules, n = rules_frame(spark, rules), len(rules)
+    small = n <= BROADCAST_RULES
+    index = token_index(urls, rules, small)
     if small:
         index = F.broadcast(index)
     fits = F.filter("rules", lambda r: F.rlike(F.col("subject"), r["regex"]))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumeria.llm import url_rules as U
 
@@ -57,5 +58,32 @@ def test_patterns_need_a_whole_token():
         U.pattern_rule("block", "*ads*")
 
 
+@pytest.mark.parametrize("broadcast", [U.BROADCAST_RULES, 0])
+def test_thousands_of_rules_from_a_table(spark, monkeypatch, broadcast):
+    """Compiled without Python to what the list of rules says; rows that are no rules are left out."""
+    monkeypatch.setattr(U, "BROADCAST_RULES", broadcast)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+    listed = {(r.choice(["allow", "block"]), ".".join(word() for _ in range(r.randint(1, 3))) + r.choice(["", "/", f"/{word()}/", f"/{word()}+(1)?x"])) for _ in range(1500)}
+    pattern = {(r.choice(["allow", "block"]), p) for p in [f"||{word()}.{word()}^" for _ in range(700)] + [f"/{word()}/*{word()}-{word()}." for _ in range(700)] + [f"?{word()}=*&" for _ in range(100)]}
+    rules = [U.host_path_rule(*x) for x in listed | {("block", "net/es/")}] + [U.pattern_rule(*x) for x in pattern]
+    rows = [("listed", v, n) for v, n in listed | {("block", "net/es/")}] + [("pattern", v, n) for v, n in pattern]
+    rows += rows[:5] + [("listed", "block", None), ("listed", "block", ""), ("other", "block", "a.b"), ("pattern", "maybe", "||a.b"), (None, None, None)]
+    table = spark.createDataFrame(rows, "kind string, verdict string, rule string").withColumn("layer", F.lit("x"))
+    compiled = U.rules_from_table(table)
+    want = {(x.name, x.verdict): (set(x.tokens), x.layer, x.rank) for x in rules}
+    assert {(x.name, x.verdict): (set(x.tokens), x.layer, x.rank) for x in compiled.collect()} == want
+    urls = ["http://" + ".".join(word() for _ in range(r.randint(1, 4))) + "".join(r.choice(["/", "/" + word() + "/", word(), "-", ".", "?" + word() + "=1&", "+(1)?x"]) for _ in range(r.randint(0, 5))) for _ in range(300)]
+    got = U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), compiled)
+    assert sorted(((x.page_id, x.host, x.path, x.rule, x.verdict, x.pattern) for x in got.collect()), key=repr) == sorted(((i, *brute(u, rules)) for i, u in enumerate(urls)), key=repr)
+
+
+def test_rules_without_a_whole_token_are_tried_everywhere(spark):
+    table = spark.createDataFrame([("pattern", "block", "*ads*"), ("pattern", "allow", "good")], "kind string, verdict string, rule string")
+    urls = spark.createDataFrame([(1, "http://x.org/loadsof"), (2, "http://x.org/"), (3, "http://goodness.org/ads"), (4, None)], "page_id long, url string")
+    got = {x.page_id: (x.verdict, x.pattern) for x in U.judge_urls(urls, U.rules_from_table(table)).collect()}
+    assert got == {1: ("block", "*ads*"), 2: ("allow", None), 3: ("block", "*ads*"), 4: ("allow", None)}
+
+
 def test_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
