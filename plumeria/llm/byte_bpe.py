@@ -1,18 +1,19 @@
 """Byte-level BPE encoding by backtracking over longest matches, and decoding.
 
-The vocabulary's byte strings are mapped to Latin-1 so that a byte is a character, and an
-Aho-Corasick automaton finds every token at every place of a pre-token in one pass. The encoder
-takes the longest token at each place that is compatible with the token before it; where none
-is, it marks the place as a dead end and steps back. A pair of tokens is compatible if
-no merge across their border comes before those that make them, so that merging the two byte
-strings by rank gives just these two tokens again; a sequence whose adjacent pairs
-are all compatible is the one that the merges give. Answers for pairs are memoised, each place is
-left at most once as a dead end, so the work is linear in the pre-token.
+The vocabulary's byte strings are mapped to Latin-1 so that a byte is a character, and held in an
+Aho-Corasick automaton, whose trie gives the longest token that begins at a place: it is asked at the
+places that the encoder comes to, and reads no further than the longest token. The encoder takes
+the longest token at each place that is compatible with the token before it; where none is, it
+marks the place as a dead end and steps back. A pair of tokens is compatible if no merge across their
+border comes before those that make them, so that merging the two byte strings by rank gives just
+these two tokens again; a sequence whose adjacent pairs are all compatible is the one that the merges
+give. Answers for pairs are memoised and each place is left at most once as a dead end, so for a given
+vocabulary the work is linear in the pre-token: its length times, at most, the longest token's.
 
 Whole pre-tokens are memoised too, with bounded size. Decoding joins the byte strings of the ids.
 
-Nulls count as empty texts (no ids). Repeated rows stay repeated; an empty table gives no rows.
-Pre-tokens of any length are encoded whole.
+Nulls count as empty texts (no ids). Repeated rows stay repeated; an empty table gives no rows; other
+columns play no part. Pre-tokens of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ship
+from plumeria.llm.common import give_back, ship
 
 #: Pre-tokens and pairs kept by a worker before the memo is emptied; the longest pre-token kept.
-MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 400_000, 1_000_000, 64
+MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 250_000, 500_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -188,6 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         c = codec(path, pattern)
         for texts in batches:
             yield pd.Series([memoryview(c.encode(t)).cast("I").tolist() for t in texts])
+        give_back()
 
     return docs.select(id_col, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
@@ -218,5 +220,6 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 packed = c.encode(t)
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(c.decode(packed)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return docs.select(id_col, summary(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).select(id_col, "s.*")

@@ -58,6 +58,20 @@ def ship(spark: SparkSession) -> None:
     sc._plumeria_shipped = True
 
 
+def give_back() -> None:
+    """At the end of a task: what is free in this Python worker goes back to the system, for whatever runs next to it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ship
+from plumeria.llm.common import give_back, ship
 
 SIMILARITY, RECALL = 0.8, 0.95
 SAMPLES, BITS, SEED = 3, 3, 11
@@ -302,6 +302,7 @@ def find_passages(
                 for d, k, b, e, edits in searched(texts.tolist(), own):
                     out[d].append({"item": own.items[k][0], "begin": b, "end": e, "edits": edits, "similarity": 1 - edits / len(own.coded[k])})
                 yield pd.Series(out, dtype=object)
+            give_back()
 
         return passages(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -334,6 +335,7 @@ def decontaminated(
                 for d, *_ in searched(texts.tolist(), own):
                     out[d] = True
                 yield pd.Series(out)
+            give_back()
 
         return contaminated
 

@@ -53,7 +53,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """(languages, their common words), each sorted; ties in frequency go to the smaller name."""
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    words = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: F.lower(w)))
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE))
     counts = known.where(F.col("lang").isin(langs)).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     top = counts.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("place", place).where(F.col("place") <= common)

@@ -100,18 +100,21 @@ w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '{space}'), la
 list_transform(ws, lambda x: lower(x)) AS lw, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 known AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {q.LANGUAGES}),
 df AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(lw)) AS word FROM w JOIN known USING (lang)) WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY ALL),
-v AS (SELECT list(word ORDER BY word) AS words FROM (SELECT DISTINCT word FROM (SELECT word FROM df QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {q.COMMON}))),
-g AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS r, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS c FROM w, range(1, len(ws) - 1) x(i)),
+v AS MATERIALIZED (SELECT DISTINCT word FROM (SELECT word FROM df QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {q.COMMON})),
+cw AS MATERIALIZED (SELECT k, word, count(*) AS n FROM (SELECT k, unnest(lw) AS word FROM w) JOIN v USING (word) GROUP BY ALL),
+t3 AS (SELECT k, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS ts FROM w),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, three) AS c FROM (SELECT k, unnest(ts) AS three, generate_subscripts(ts, 1) AS i FROM t3)),
 p AS (SELECT k, count(DISTINCT i + o) AS n_repeat_words FROM g, range(0, 3) y(o) WHERE c > 1 GROUP BY k),
-u AS (SELECT k, list_transform(words, lambda y: len(list_filter(lw, lambda x: x = y))) AS vs FROM w, v),
 f AS (SELECT k, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
 len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(rest) AS r, length(rest) - length(regexp_replace(rest, '\\p{{Lu}}+', '', 'g')) AS u,
-length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')) AS n, length(rest) - length(regexp_replace(rest, '[.,;:!?''"()-]+', '', 'g')) AS q, vs FROM w JOIN u USING (k) LEFT JOIN p USING (k)),
+length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')) AS n, length(rest) - length(regexp_replace(rest, '[.,;:!?''"()-]+', '', 'g')) AS q FROM w LEFT JOIN p USING (k)),
 b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars >= {q.MIN_CHARS} AS long_c, n_words >= {q.MIN_WORDS} AS long_w,
-list_transform([word_chars - r, u, n, q, r - u - n - q], lambda x: x::DOUBLE / word_chars) AS c, list_transform(list_append(vs, n_words - list_sum(vs)::BIGINT), lambda x: x::DOUBLE / n_words) AS w FROM f),
-h AS MATERIALIZED (SELECT k, 'c' AS kind, i, c[i] AS x FROM b, range(1, len(c) + 1) t(i) UNION ALL SELECT k, 'w', i, w[i] FROM b, range(1, len(w) + 1) t(i)),
-m AS (SELECT lang, kind, i, avg(x) AS m FROM h JOIN b USING (k) JOIN known USING (lang) WHERE NOT base_failed AND long_c AND long_w GROUP BY ALL HAVING count(*) >= {q.MIN_DOCUMENTS}),
-e AS (SELECT h.k, kind, m.lang, sqrt(greatest(0, sum({side("x", "m")} + {side("m", "x")}) / 2)) AS dist FROM h JOIN m USING (kind, i) GROUP BY ALL),
+list_transform([word_chars - r, u, n, q, r - u - n - q], lambda x: x::DOUBLE / word_chars) AS c FROM f),
+h AS MATERIALIZED (SELECT k, 'c' AS kind, i::VARCHAR AS bin, c[i] AS x FROM b, range(1, 6) t(i) WHERE long_c
+UNION ALL SELECT k, 'w', word, coalesce(cw.n, 0)::DOUBLE / n_words FROM b CROSS JOIN v LEFT JOIN cw USING (k, word) WHERE long_w
+UNION ALL SELECT k, 'w', '', (n_words - coalesce(s, 0))::DOUBLE / n_words FROM b LEFT JOIN (SELECT k, sum(n) AS s FROM cw GROUP BY k) USING (k) WHERE long_w),
+m AS MATERIALIZED (SELECT lang, kind, bin, avg(x) AS m FROM h JOIN b USING (k) JOIN known USING (lang) WHERE NOT base_failed AND long_c AND long_w GROUP BY ALL HAVING count(*) >= {q.MIN_DOCUMENTS}),
+e AS (SELECT h.k, kind, m.lang, sqrt(greatest(0, sum({side("x", "m")} + {side("m", "x")}) / 2)) AS dist FROM h JOIN m USING (kind, bin) GROUP BY ALL),
 o AS (SELECT k, min(dist) FILTER (WHERE kind = 'c' AND long_c) AS dc, min(dist) FILTER (WHERE kind = 'w' AND long_w) AS dw FROM e JOIN b USING (k) WHERE b.lang IN (SELECT lang FROM m) GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
 NOT base_failed AND NOT (coalesce(dc, 0) > {q.MAX_CHAR_DISTANCE} OR coalesce(dw, 0) > {q.MAX_WORD_DISTANCE}) AS kept, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance FROM b LEFT JOIN o USING (k)"""

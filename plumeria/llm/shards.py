@@ -7,11 +7,12 @@ whose first byte lies at offset ``o`` of ``total`` goes to shard ``o * n_shards
 shards are contiguous in the order and differ from the target by less than one row at each cut.
 
 Only (id, size, checksum) is shuffled, never the text, and no group of equal texts or of one
-source comes together: the order is by id. The totals have one row per range and the shard
+source comes together: the order is by id, and rows that tie in all three are parted by where they
+were read. The totals have one row per range and the shard
 starts one row per shard, so both are broadcast whatever the size of the input.
 
 Nulls: a null text counts no bytes (size is the overhead alone, checksum 0); a null id sorts
-first. Repeated rows tie and keep one place each. An empty table gives no rows.
+first. Repeated rows tie and keep one place each. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def byte_shards(sizes: DataFrame, n_shards: int, buckets: int | None = None) ->
     spark = sizes.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the sizes are written before they are dealt out, since that samples them; then with their range, which must not change
-    ranges = saved(sizes, "sizes").repartitionByRange(n, "doc_id", "text_crc32", "size")
-    rows = saved(ranges.withColumn("bucket", F.spark_partition_id()), "ranges")
+    ranges = saved(sizes, "sizes").withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "text_crc32", "size", "place")
+    rows = saved(ranges.drop("place").withColumn("bucket", F.spark_partition_id()), "ranges")
     totals = rows.groupBy("bucket").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = totals.select(

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeria.functions.graph import min_reachable as components
-from plumeria.llm.common import fresh, saved, ship, text_key
+from plumeria.llm.common import fresh, give_back, saved, ship, text_key
 
 #: Leaves of a trie (or part of one) that a task takes at once, and fingerprints hashed at once.
 LEAVES, HASHES = 1024, 1 << 16
@@ -90,6 +90,7 @@ def fingerprint_column(text: Column, width: int = 4) -> Column:
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return fp(F.coalesce(text, F.lit("")))
 

@@ -11,8 +11,8 @@ Offline, every piece is encoded alone, and those that come back as one token are
 part that equals one counts 1 without a merge. Only the other parts are merged, once each, and
 kept in a memo of bounded size.
 
-Nulls and empty texts count 0 tokens. Repeated rows stay repeated; an empty table gives no rows.
-A text without any boundary is one part and is merged at once, as the library would.
+Nulls and empty texts count 0 tokens. Repeated rows stay repeated; an empty table gives no rows; other
+columns play no part. A text without any boundary is one part and is merged at once, as the library would.
 """
 
 from __future__ import annotations

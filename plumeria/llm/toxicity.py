@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import saved, ship
+from plumeria.llm.common import give_back, saved, ship
 
 WINDOW, STRIDE = 24, 16
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -420,5 +420,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Co
         for texts in batches:
             which, distinct = pd.factorize(texts)  # equal texts are scored once
             yield pd.Series(shared.value.scores(distinct.tolist())[which])
+        give_back()
 
     return score(F.coalesce(F.col(text_col), F.lit("")))

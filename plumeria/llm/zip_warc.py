@@ -9,7 +9,8 @@ own, in the shared folder, and reports them; the reports are written down once,
 in them count, so a task that is run again leaves an unlisted file at worst. Of pages with equal
 payloads of at least ``MIN_REVISIT`` bytes, the one with the largest id is the response and the
 others are revisits that refer to it. Which payloads repeat is found from digests alone. Their
-table is broadcast while it has at most ``BROADCAST_GROUPS`` rows; beyond that, the join shuffles.
+table is broadcast while it has at most ``BROADCAST_GROUPS`` rows; beyond that, the join shuffles by
+digest and salt.
 
 Reading: from the end of the file, the ZIP (or ZIP64) end record leads to the central directory;
 members are found there, the index is read, and each record is fetched by its own range (near
@@ -42,7 +43,7 @@ from plumeria.llm.common import new_path, saved, ship, until_exit
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 8 << 20, 1 << 20, 4
-MIN_REVISIT, BROADCAST_GROUPS = 1000, 50_000
+MIN_REVISIT, BROADCAST_GROUPS, SALTS = 1000, 50_000, 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -208,8 +209,11 @@ def dedup_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     groups = rows.where(F.col("n") >= MIN_REVISIT).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
     groups = saved(groups.where("copies > 1").select("sha1", "first"), "copies")
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    out = rows.join(groups, "sha1", "left")
+        out = rows.join(F.broadcast(groups), "sha1", "left")
+    else:  # a payload that many pages share goes to SALTS places
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.join(groups, ["sha1", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "payload", "sha1", "n", F.when(revisit, F.col("first")).alias("refers_to"))
 

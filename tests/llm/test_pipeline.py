@@ -69,3 +69,13 @@ def test_odd_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf_dir)
             assert out.count() <= docs.count(), name
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    names = ["_quality", "_kept", "_toxicity", "_char_distance", "_text", "_fp", "id", "key", "node", "root", "row", "Gone_id", "item_id", "begin", "h"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).select("*", *(F.lit(7).alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[c] == 7 for r in rows for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 80

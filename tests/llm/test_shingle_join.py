@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumeria.llm import shingle_join as J
+from plumeria.llm import simhash_join as S
 
 
 def shingles(text, width=5):
@@ -48,6 +49,9 @@ def docs_of():
     common = ["c%d" % k for k in range(60)]
     texts += [common + ["u%d" % r.randrange(10**6) for _ in range(r.choice([5, 14, 40]))] for _ in range(40)]
     texts += [edited(r, ["h%d" % k for k in range(120)], r.choice([1, 2, 3])) for _ in range(60)]
+    for n in (508, 520, 1022, 1030):  # on both sides of a number of parity bits
+        base = ["l%d" % r.randrange(10**5) for _ in range(n)]
+        texts += [base] + [edited(r, base + ["t%d" % k] * k, k) for k in (3, 8, n // 60, n // 50, n // 45, n // 40, n // 30)]
     r.shuffle(texts)
     return [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "A b"), (903, "a B")]
 
@@ -56,6 +60,10 @@ def docs_of():
 def test_against_brute_force(spark, monkeypatch, sample):
     monkeypatch.setattr(J, "SAMPLE", sample)
     rows = docs_of()
+    if not sample:  # the shuffled ways, and repeated rows
+        monkeypatch.setattr(J, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+        rows += rows[:9] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_x", F.lit(1))
     kept = J.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
@@ -71,6 +79,24 @@ def test_stage_links_similarity_of_four_fifths(spark, sf_dir):
     assert got == kept_by_brute_force(rows) == [0, 20, 21, 22, 23]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_shared_places_lose_no_shingle(spark, parts):
+    """Every shingle of two nodes or more is kept with all its nodes, wherever the ranges are cut."""
+    r = random.Random(3)
+    rows = [(k // 2, k, 9, [r.randrange(40) if r.random() < 0.5 else 1000 + 50 * k + i for i in range(6)]) for k in range(60)] + [(70 + k, 500 + k, 9, [7, 5000 + k]) for k in range(80)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(x.h, x.node) for x in J.shared_places(spark.createDataFrame(rows, "node long, key long, n int, prefix array<long>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    nodes = {}
+    for node, _, _, prefix in rows:
+        for h in prefix:
+            nodes.setdefault(h, set()).add(node)
+    want = {(h, n) for h, ns in nodes.items() if len(ns) > 1 for n in ns}
+    assert want <= got and len(got - want) <= 2 * parts
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "other words in here too")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in J.deduplicated(docs).collect()) == ["5", "None"]
