@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, zip_warc
+from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, whitening, zip_warc
 from plumeria.llm.common import table
 
 
@@ -73,6 +73,24 @@ def op10_simhash_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def embedding_whitening(vectors: DataFrame) -> DataFrame:
+    """A row for each usable vector and component."""
+    model, kinds = whitening.fit(vectors), "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    if model is None:
+        return vectors.sparkSession.createDataFrame([], kinds)
+    v = F.col("embedding")
+    rows = vectors.where(whitening.fits(model, v)).select("vec_id", whitening.whitened(model, v).alias("w"))
+    rows = rows.select("vec_id", "w.deviation", F.explode(F.arrays_zip(whitening.components(model).alias("c"), F.col("w.whitened").alias("w"))).alias("r"))
+    return rows.select(
+        "vec_id", "r.c.component", F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation AS long)").alias("deviation"),
+        F.col("r.w").alias("whitened"), "r.c.explained", F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_tries": op10_simhash_tries,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 def _quoted(values) -> str:
