@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, shards, simhash_join, token_counts, toxicity, url_rules, whitening, zip_warc
+from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, ranked_search, shards, simhash_join, token_counts, toxicity, url_rules, whitening, zip_warc
 from plumeria.llm.common import table
 
 
@@ -91,6 +91,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_decontaminate": op2_decontaminate,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_tries": op10_simhash_tries,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 def _quoted(values) -> str:
@@ -169,9 +174,24 @@ m AS (SELECT k, arg_min((layer, verdict, name), (-layer, -rank, verdict, name))
 SELECT page_id, host, path, CASE WHEN best[1] = 1 THEN best[3] END AS rule, coalesce(best[2], 'allow') AS verdict, CASE WHEN best[1] = 0 THEN best[3] END AS pattern FROM u LEFT JOIN m USING (k)"""
 
 
+def search_sql(top: int = ranked_search.TOP) -> str:
+    """Every document scored for every item."""
+    terms = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {terms} AS ts FROM documents),
+n AS (SELECT k, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0), s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+f AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+c AS (SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll))))::BIGINT AS score
+FROM q JOIN w USING (term) JOIN f USING (term) JOIN n USING (k), s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {top}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_divergence": quality_sql(),
     "op4_zip_warc": warc_sql(),
     "op8_url_rules": url_sql(),
     "op9_byte_shards": shard_sql(),
+    "op13_ranked_search": search_sql(),
 }
