@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm import byte_bpe, decontaminate, dom_extract, quality_divergence, ranked_search, shards, simhash_join, token_counts, toxicity, url_rules, whitening, zip_warc
+from plumeria.llm import byte_bpe, decontaminate, dom_extract, mixture, quality_divergence, ranked_search, shards, simhash_join, token_counts, toxicity, url_rules, whitening, zip_warc
 from plumeria.llm.common import table
 
 
@@ -91,6 +91,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": op9_byte_shards,
     "op10_simhash_tries": op10_simhash_tries,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_mixture": op12_source_mixture,
     "op13_ranked_search": op13_ranked_search,
 }
 
