@@ -19,7 +19,10 @@ inside a block as one space, trimmed, empty blocks left out, joined by a blank l
 order; character references decoded. Scripts, styles and other elements that never hold text for
 readers are left out before; a head ends where an element begins that can't stand in it, and others that
 lack an end tag where an enclosing element ends or a block begins. Null and empty html gives an empty
-text. Unclosed and stray tags are accepted, and nesting of any depth. Formulas (math) are text.
+text. Unclosed and stray tags are accepted, and nesting of any depth. Declarations and marked sections, known or not, are
+no text: they end at the next ``>`` (a document type with a subset of its own at ``]>``, CDATA at ``]]>``), or at the page's end. Formulas (math) are text.
+Inline elements with a class, id or role are elements of the tree with a label of their own (an advert inside a paragraph goes, the paragraph
+stays); the text of others is their parent's.
 Repeated rows stay repeated; an empty table gives no rows; other columns of pages play no part.
 """
 
@@ -71,33 +74,60 @@ TAG = {t: i for i, t in enumerate(TAGS)}
 NAMES = 1024  # hashed words of class, id and role, of the element and of its parent
 NUMBERS = 10
 FEATURES = len(TAGS) + NAMES + NUMBERS + 1
-#: Kinds of children that have potentials of their own with their parent.
+#: Kinds of children (inline elements are one) that have potentials of their own with their parent.
+INLINE = 4
 KINDS = {"p": 1, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "blockquote": 1, "pre": 1, "li": 2, "ul": 2, "ol": 2, "td": 2, "tr": 2, "table": 2, "div": 3, "section": 3, "article": 3, "main": 3}
 #: And kinds of parents.
 OVER = {"article": 1, "main": 1, "nav": 2, "header": 2, "footer": 2, "aside": 2, "form": 2, "ul": 3, "ol": 3, "table": 3, "tr": 3, "dl": 3}
-N_KINDS = 16
+N_KINDS = 20
 SEED, PAGES, ROUNDS = 5, 700, 200
 
 
+#: What the parser does not read as markup: comments, and scripts and styles up to their end tags.
+UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(</\1|\Z)", re.S)
+COMMENT_END = re.compile("--!?>")
+DECLARATION = re.compile(r"<!\[cdata\[.*?\]\]>|<!doctype[^\[>]*\[(?:[^\]<]|<![^>]*>)*\]\s*>|<![^>]*>", re.S | re.I)
+
+
+def names_of(attrs: dict[str, str | None]) -> tuple[str, ...]:
+    """The words of class, id and role, and whether the element is hidden."""
+    names = " ".join(filter(None, (attrs.get("class"), attrs.get("id"), attrs.get("role"))))
+    hidden = "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "")
+    return (*re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()), *["hidden"] * hidden)
+
+
 class Dom(HTMLParser):
-    """Elements of a page with their own text, in blocks. Inline elements other than links belong to their block."""
+    """Elements of a page with their own text, in blocks. Inline elements without names belong to the element around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.names, self.links, self.own = [-1], ["html"], [()], [0], [0]
-        self.blocks: list[tuple[int, list[str]]] = []  # (element, pieces of text) in page order
-        self.open: list[tuple[str, int]] = [("html", 0)]  # (tag, element that text in it belongs to)
+        self.blocks: list[tuple[int, list[tuple[int, str]]]] = []  # (block element, pieces of text with their elements) in page order
+        self.open: list[tuple[str, int, int]] = [("html", 0, 0)]  # (tag, element that text in it belongs to, block element)
         self.at: dict[str, list[int]] = {"html": [0]}  # tag -> its places in open
         self.dropped: list[str] = []  # a dropped element and those open in it
         self.inside: Counter[str] = Counter()  # how many of each tag these are
         self.ends: dict[str, int] = {}  # end tags of dropped elements that are still to come
         self.in_link = 0
+        self.commented = True  # ends of comments may still come
         self.fresh = True  # the next text begins a block
 
     def feed(self, data):
-        self.ends = {t: n for t, n in Counter(re.findall(r"</([a-z]+)", data.lower())).items() if t in DROPPED}
+        shown = UNREAD.sub(lambda m: m[2] or "", data.lower())
+        self.ends = {t: n for t, n in Counter(re.findall(r"</([a-z]+)", shown)).items() if t in DROPPED}
         super().feed(data)
 
+    def parse_comment(self, i, report=True):
+        """Where a comment ends; one without an end goes to the next ``>``."""
+        end = COMMENT_END.search(self.rawdata, i + 2) if self.commented else None
+        self.commented = end is not None
+        return end.end() if end else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        """Where a declaration or marked section ends; what it holds is no text."""
+        end = DECLARATION.match(self.rawdata, i)
+        return end.end() if end else len(self.rawdata)
+
     def handle_starttag(self, tag, attrs):
         if self.dropped and self._ends_dropped(tag):
             self._undrop(0)
@@ -122,19 +152,18 @@ class Dom(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         self.at.setdefault(tag, []).append(len(self.open))
-        if tag in BLOCK:
-            d = dict(attrs)
-            names = " ".join(filter(None, (d.get("class"), d.get("id"), d.get("role"))))
-            self.parent.append(self.open[-1][1])
+        names, block = names_of(dict(attrs)), tag in BLOCK
+        self.in_link += tag == "a"
+        at, own_block = self.open[-1][1:]
+        if block or names:
+            self.parent.append(at)
             self.tag.append(tag)
-            self.names.append(tuple(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())) + (("hidden",) if "hidden" in d or "display:none" in (d.get("style") or "").replace(" ", "") else ()))
+            self.names.append(names)
             self.links.append(0)
             self.own.append(0)
-            self.open.append((tag, len(self.tag) - 1))
-            self.fresh = True
-        else:
-            self.in_link += tag == "a"
-            self.open.append((tag, self.open[-1][1]))
+            at = len(self.tag) - 1
+        self.open.append((tag, at, at if block else own_block))
+        self.fresh |= block
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -181,7 +210,7 @@ class Dom(HTMLParser):
             self._pop(min(inner))
 
     def _pop(self, i: int) -> None:
-        for t, _ in self.open[i:]:
+        for t, *_ in self.open[i:]:
             self.at[t].pop()
             self.in_link -= t == "a"
             self.fresh |= t in BLOCK
@@ -190,21 +219,22 @@ class Dom(HTMLParser):
     def handle_data(self, data):
         if self.dropped:
             return
-        at = self.open[-1][1]
-        if self.fresh or not self.blocks or self.blocks[-1][0] != at:
+        _, at, block = self.open[-1]
+        if self.fresh or not self.blocks or self.blocks[-1][0] != block:
             if not data.strip():
                 return
-            self.blocks.append((at, []))
+            self.blocks.append((block, []))
             self.fresh = False
-        self.blocks[-1][1].append(data)
+        self.blocks[-1][1].append((at, data))
         n = len(data)
         self.own[at] += n
         if self.in_link > 0:
             self.links[at] += n
 
-    def texts(self) -> list[tuple[int, str]]:
-        joined = ((at, " ".join("".join(pieces).split())) for at, pieces in self.blocks)
-        return [(at, t) for at, t in joined if t]
+    def texts(self, content) -> list[str]:
+        """The text of each block in elements for which ``content`` is true."""
+        joined = (" ".join("".join(piece for at, piece in pieces if content[at]).split()) for _, pieces in self.blocks)
+        return [t for t in joined if t]
 
 
 def parse(html: str | None) -> Dom:
@@ -246,7 +276,7 @@ class Forest:
                 feature |= {len(TAGS) + NAMES + k for k, on in enumerate(numbers) if on} | {FEATURES - 1}
                 rows.extend([shift + i] * len(feature))
                 columns.extend(feature)
-                kinds.append(KINDS.get(tag, 0) * 4 + OVER.get(dom.tag[par[i]] if i else "", 0))
+                kinds.append((KINDS.get(tag, 0) if tag in BLOCK else INLINE) * 4 + OVER.get(dom.tag[par[i]] if i else "", 0))
                 parents.append(par[i] + shift if i else -1)
             depth.extend(deep)
             shift += n
@@ -323,11 +353,15 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     def link(a: int = 1, b: int = 3) -> str:
         return f'<a href="/{word()}">{words(a, b)}</a>'
 
-    def inline(a: int, b: int) -> str:
-        parts = [words(a, b)]
-        for _ in range(r.choice([0, 0, 1, 2])):
+    def inline(a: int, b: int, label: str = "") -> str:
+        """Words with inline elements; in a dense one about half of the words are links."""
+        dense, parts = r.random() < 0.12, [words(a, b)]
+        for _ in range(r.choice([0, 0, 1, 2]) if not dense else r.randint(2, 12)):
             t = r.choice(["b", "i", "em", "strong", "span", "code"])
-            parts += [r.choice([f"<{t}>{words(1, 4)}</{t}>", link(), "<br>", f"<b>{words(2, 5)}"]), words(1, 20)]
+            plain = f' {r.choice(["class", "id"])}="{r.choice([word(), word(), "highlight", "ref", "external", "name", "term"])}"{label}'
+            parts += [r.choice([f"<{t}>{words(1, 4)}</{t}>", link(), "<br>", f"<b>{words(2, 5)}", f"<{t}{plain}>{words(1, 6)}</{t}>", f"<a href=x{plain}>{words(1, 4)}</a>"]), words(1, 20)] if not dense else [link(1, 6), words(1, 5)]
+            if label and r.random() < 0.06:
+                parts.append(f"<span{named('ad', 'ads', 'advert', 'sponsored', 'promo', 'notice', 'newsletter', 'share', also=1)}>{words(1, 9)}</span>")
         return " ".join(parts) + "."
 
     def links() -> str:
@@ -377,32 +411,49 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
 
     L = ' data-label="1"'
 
+    def glossary() -> str:
+        pairs = "".join(f"<dt{L}>{words(1, 3)}{r.choice(['</dt>', ''])}<dd{L}>{inline(2, 40, L)}{r.choice(['</dd>', ''])}" for _ in range(r.randint(1, 8)))
+        return f"<dl{L}>{pairs}</dl>"
+
+    def references() -> str:
+        t, cite = r.choice(["ul", "ol"]), r.choice([lambda: link(1, 8), lambda: f"{words(1, 6)} {link(1, 6)} {words(1, 4)}."])
+        items = "".join(f"<li{L}>{cite()}</li>" for _ in range(r.randint(1, 9)))
+        return f"{some(0.5, f'<h2{L}>{words(1, 2)}</h2>')}<{t}{L}{some(0.3, named('references', 'reflist', 'citations', 'sources', 'bibliography'))}>{items}</{t}>"
+
     def paragraph(plain: float, most: int) -> str:
         x, a, b = r.random() * plain, r.choice([1, 1, 3, 10, 30]), r.choice([3, 12, 40, 120, 200])
         a, b = min(a, most), min(b, most)
         if x < 0.7:
-            return f"<p{L}>{inline(a, max(a, b))}" + r.choice(["</p>", "</p>", "</p>", ""])
+            return f"<p{L}>{inline(a, max(a, b), L)}" + r.choice(["</p>", "</p>", "</p>", ""])
         if x < 0.78:
             t = r.choice(["h2", "h3", "h4"])
             return f"<{t}{L}>{words(1, 8)}</{t}>"
         if x < 0.84:
             t = r.choice(["ul", "ol"])
-            return f"<{t}{L}>{''.join(f'<li{L}>{inline(2, 18)}</li>' for _ in range(r.randint(2, 6)))}</{t}>"
+            return f"<{t}{L}>{''.join(f'<li{L}>{inline(2, 18, L)}</li>' for _ in range(r.randint(2, 6)))}</{t}>"
         if x < 0.89:
-            return f"<blockquote{L}>{r.choice([inline(4, 40), f'<p{L}>{inline(4, 40)}</p>'])}</blockquote>"
+            return f"<blockquote{L}>{r.choice([inline(4, 40, L), f'<p{L}>{inline(4, 40, L)}</p>'])}</blockquote>"
         if x < 0.92:
             return f"<pre{L}>{words(4, 40)}</pre>"
         if x < 0.95:
             return f"<table{L}>{''.join(f'<tr{L}><td{L}>{words(1, 4)}</td><td{L}>{words(1, 6)}</td></tr>' for _ in range(r.randint(2, 5)))}</table>"
-        if x < 0.97:
+        if x < 0.96:
+            return glossary()
+        if x < 0.975:
+            return references()
+        if x < 0.985:
+            return f"<p{L}>{link(1, 8)}</p>"
+        if x < 0.99:
             return f"<figure{L}><img src=x><figcaption{L}>{words(3, 14)}</figcaption></figure>"
-        return f"<div{L}>{inline(8, 60)}</div>"
+        return f"<div{L}>{inline(8, 60, L)}</div>"
 
     def article() -> str:
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
         parts = [some(0.75, f"<h1{L}>{words(2, 12)}</h1>"), some(0.1, f"<header{L}><h1{L}>{words(2, 10)}</h1></header>")]
-        plain, most = r.choice([0.7, 0.7, 1]), r.choice([4, 12, 60, 200, 200])  # only paragraphs or all kinds; how long they get
-        parts += [paragraph(plain, most) for _ in range(r.choice([1, 2, 3, 5, 8, 12, 25, 40]))]
+        plain, most = r.choice([0.7, 0.7, 1, 1]), r.choice([4, 12, 60, 200, 200])  # only paragraphs or all kinds; how long they get
+        part = r.choice([lambda: paragraph(plain, most)] * 12 + [glossary, references])
+        parts += [part() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 25, 40]))]
+        parts += [f"<span{named('newsletter', 'notice', 'promo', 'share', also=1)}>{words(1, 12)}</span>"] * (r.random() < 0.05)
         for extra, p in ((advert, 0.25), (notice, 0.08), (side, 0.15), (form, 0.1), (comments, 0.3), (menu, 0.06)):
             if r.random() < p:
                 parts.insert(r.randint(1, len(parts)) if extra is not comments else len(parts), extra())
@@ -418,8 +469,12 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         core = article()
         if r.random() < 0.3:
             core = f"<div{L}{named('container', 'wrapper', 'page', 'layout', 'row', 'site', 'main')}>{some(0.3, menu())}{core}{some(0.4, side())}</div>"
+        deep = r.choice([0] * 8 + [1, 3, 10, 30])
+        core = f"<div{L}>" * deep + core + "</div>" * deep
         parts = [some(0.45, head()), some(0.75, menu()), some(0.2, notice()), some(0.5, advert()), some(0.15, form()), some(0.2, side()), core]
         parts += [some(0.25, side()), some(0.3, comments()), some(0.15, advert()), some(0.1, form()), some(0.12, notice()), some(0.8, foot()), some(0.08, notice())]
+        if r.random() < 0.15:  # a page without furniture
+            parts = [core]
         title = f"<head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         pages.append(f"<!DOCTYPE html><html lang={word()}>{title}<body{L}>{''.join(parts)}</body></html>")
     return pages
@@ -456,7 +511,7 @@ def main_texts(pages: list[str | None], weight: np.ndarray, pair: np.ndarray) ->
     p, _ = marginals(forest, weight, pair)
     out, shift = [], 0
     for dom in doms:
-        out.append("\n\n".join(t for at, t in dom.texts() if p[shift + at] >= 0.5))
+        out.append("\n\n".join(dom.texts(p[shift : shift + len(dom.tag)] >= 0.5)))
         shift += len(dom.tag)
     return out
 

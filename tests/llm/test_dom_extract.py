@@ -141,3 +141,49 @@ def test_deep_pages_take_linear_time():
     began = time.perf_counter()
     X.parse("<b>" * 60_000 + "<p>x</p>" * 20_000 + "</i>" * 20_000 + "<svg>" + "<g>" * 30_000 + "</h>" * 20_000)
     assert time.perf_counter() - began < 10
+
+
+LINE = "Text of the page, a bit longer than a line so that it is surely an article of some kind."
+DENSE = "".join(f"<p>The <a href=a>{a} line</a> began when <a href=b>the old canal</a> was closed and the <a href=c>valley had no other way</a> to send {a} <a href=d>coal</a>, and it ran until <a href=e>the great flood of that year</a> took the bridge.</p>" for a in ("north", "south", "east", "west", "hill"))
+
+
+def plain(html):
+    return "\n\n".join(" ".join(H.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</p><p>|</p>", html) if b.strip())
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<nav><a href=x>Home</a></nav><article><h1>T</h1>{DENSE}</article><footer>c</footer>", "T\n\n" + plain(DENSE)),
+        (f"<article><h1>Terms</h1><dl><dt>First<dd>{LINE}<dt>Second<dd>Shorter.</dl></article><footer>c</footer>", f"Terms\n\nFirst\n\n{LINE}\n\nSecond\n\nShorter."),
+        (f"<nav><ul><li><a href=x>Home</a></ul></nav><article><p>{LINE}</p><h2>References</h2><ol><li><a href=x>A paper about it</a></li><li>Someone, <a href=x>Another</a>, 1999.</li></ol></article>", f"{LINE}\n\nReferences\n\nA paper about it\n\nSomeone, Another, 1999."),
+        ("<article><p>Plain words only here.</p><p><a href=x>All of it is a link</a></p></article>", "Plain words only here.\n\nAll of it is a link"),
+        (f"<!--[if IE]><p>x</p><![endif]--><article><p>{LINE}</p><![endif]--></article>", LINE),
+        (f"<!DOCTYPE html [<!ELEMENT x>]><article><p>{LINE}</p></article>", LINE),
+        (f"<!DOCTYPE html [<article><p>{LINE}</p><p>a[0]></p></article>", LINE + "\n\na[0]>"),
+        (f"<article><p>{LINE}</p><![foo[x]]><p>{LINE}</p><![<p>{LINE}</p></article>", f"{LINE}\n\n{LINE}\n\n{LINE}"),
+        (f"<!--><article><!-- a > b --><p>{LINE}<!---><!--x--!></p><!-- </article> never > ended", LINE + "\n\nnever > ended"),
+        (f"<!-- </noscript> --><body><noscript><article><p>{LINE}</p></article>", LINE),
+        (f"<script>var a='</button>'</script><body><button><article><p>{LINE}</p></article>", LINE),
+        (f"<article><p>Before <span class='ad advert'>Buy now!</span> after. {LINE}</p><span class='newsletter notice'>Join our list</span><p>And <span class=name>more</span> words <a class=external href=x>here</a>.</p></article>", f"Before after. {LINE}\n\nAnd more words here."),
+    ],
+)
+def test_articles_that_the_grammar_did_not_draw(html, want):
+    assert X.main_texts([html], *X.trained()) == [want]
+
+
+def test_ten_thousand_broken_pages():
+    r = __import__("random").Random(8)
+    bits = ["<![", "<![foo[x]]>", "<![CDATA[", "]]>", "<!", "<!-", "<!--", "-->", "<!DOCTYPE [<!ELEMENT x>]>", "<?x", "</", "<", ">", "<p", "<p class='", '"', "=", "&#x", "&#99999999;", "&lt", "<script>", "</script", "<noscript>", "<svg><p>", "</body>", "<head>", "<span class=ad>", "<table><td>", "<dl><dd>", "<a href=x>", "</a>", "<title>", "\x00", "\ud7ff", "text ", "é "]
+    pages = ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(10_000)]
+    out = [t for i in range(0, len(pages), 500) for t in X.main_texts(pages[i : i + 500], *X.trained())]
+    assert len(out) == len(pages) and all(isinstance(t, str) for t in out)
+
+
+def test_declarations_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<![" * 50_000, "<!doctype [" * 20_000, "<![cdata[" * 20_000, "<!-- " * 50_000, "<script> " * 50_000):
+        X.parse(page)
+    assert time.perf_counter() - began < 20
