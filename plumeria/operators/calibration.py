@@ -19,13 +19,13 @@ BROADCAST_CELLS = 2_000_000
 
 
 def master(px: DataFrame) -> DataFrame:
-    """(x, y, value): the mean of the calibration frames in each cell."""
-    return px.groupBy("x", "y").agg(F.avg(clean("v")).alias("value"))
+    """(x, y, value): the mean of the calibration frames in each cell. Written, as it is counted, averaged and joined."""
+    return written(px.groupBy("x", "y").agg(F.avg(clean("v")).alias("value")), "master")
 
 
 def _small(cells: DataFrame) -> DataFrame:
     """Broadcast where the number of cells is within the bound."""
-    return F.broadcast(cells) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
+    return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
 def _with_master(px: DataFrame, cells: DataFrame) -> tuple[DataFrame, str]:
@@ -91,17 +91,19 @@ def tile_background(px: DataFrame, tile: int = 4) -> DataFrame:
     return valued(px).groupBy("frame_id", *t).agg(F.median("v").alias("background"))
 
 
-def neighbours(px: DataFrame) -> DataFrame:
-    """(frame_id, x, y, v): every value sent to the eight cells around it."""
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
+def neighbours(px: DataFrame, own: bool = False) -> DataFrame:
+    """(frame_id, x, y, v, own): every value sent to the eight cells around it, and with ``own`` to its own cell, marked."""
+    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if own or dx or dy))
     sent = px.select("frame_id", "x", "y", "v", F.explode(around).alias("d"))
-    return sent.select("frame_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v")
+    return sent.select("frame_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v", F.expr("d.dx = 0 AND d.dy = 0").alias("own"))
 
 
 def hot_cells(px: DataFrame, k: float = 3.0) -> DataFrame:
     """(frame_id, x, y, v, repaired) of cells over k deviations (of the frame) away from the median of their neighbours."""
     px = valued(px).select("frame_id", "x", "y", "v")
-    near = neighbours(px).groupBy("frame_id", "x", "y").agg(F.median("v").alias("repaired"))
+    near = neighbours(px, own=True).where("x IS NOT NULL AND y IS NOT NULL").groupBy("frame_id", "x", "y").agg(
+        F.median(F.when(~F.col("own"), F.col("v"))).alias("repaired"), F.collect_list(F.when(F.col("own"), F.col("v"))).alias("v")
+    )  # a cell's own values are its repeated rows
     spread = px.groupBy("frame_id").agg(F.stddev_pop("v").alias("s"))
-    rows = px.join(near, ["frame_id", "x", "y"]).join(spread, "frame_id")
+    rows = near.where("repaired IS NOT NULL").withColumn("v", F.explode("v")).join(spread, "frame_id")
     return rows.where(F.abs(F.col("v") - F.col("repaired")) > k * F.col("s")).select("frame_id", "x", "y", "v", "repaired")

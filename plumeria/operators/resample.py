@@ -16,10 +16,11 @@ from plumeria.functions.columns import clean, valued
 NEGLIGIBLE = 1e-12
 
 
-def bilinear_resample(px: DataFrame, transform: DataFrame) -> DataFrame:
+def bilinear_resample(px: DataFrame, transform: DataFrame, least: float = 0.0) -> DataFrame:
     """(group_id, x, y, value, coverage): pixels moved by (frame_id, a, b, tx, ty) and shared among the four cells they fall on.
 
-    Flux is kept: the weights of a pixel add up to one. transform has one row for each frame.
+    Flux is kept: the weights of a pixel add up to one. Cells with a coverage of ``least`` or less are left out: with transforms that were
+    fitted, a coverage near zero is rounding, and its value says nothing. transform has one row for each frame.
     """
     rows = valued(px).select("frame_id", "group_id", "x", "y", "v").join(transform.select("frame_id", "a", "b", "tx", "ty").dropna(), "frame_id")
     u = (F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("tx")).alias("u")
@@ -31,7 +32,8 @@ def bilinear_resample(px: DataFrame, transform: DataFrame) -> DataFrame:
     )
     cells = rows.select("group_id", "v", F.explode(parts).alias("p")).where("p.c > 0")
     c = F.col("p.c")
-    return cells.groupBy("group_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.try_divide(F.sum(F.col("v") * c), F.sum(c)).alias("value"), F.sum(c).alias("coverage"))
+    cells = cells.groupBy("group_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.try_divide(F.sum(F.col("v") * c), F.sum(c)).alias("value"), F.sum(c).alias("coverage"))
+    return cells.where(F.col("coverage") > least)
 
 
 def with_area(rows: DataFrame, name: str) -> DataFrame:
@@ -95,9 +97,9 @@ def mosaic(stacks: DataFrame, offsets: DataFrame) -> DataFrame:
     return placed.groupBy("x", "y").agg(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("value"), F.sum("weight").alias("weight"))
 
 
-def histogram(px: DataFrame, low: float, high: float, bins: int) -> DataFrame:
-    """(bucket, n): 0 is below low, bins + 1 at high or above."""
-    return valued(px).groupBy(F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+def histogram(px: DataFrame, low: float, high: float, bins: int, *more: Column) -> DataFrame:
+    """(bucket, n): 0 is below low, bins + 1 at high or above. ``more``: other aggregates of a bucket's rows."""
+    return valued(px).groupBy(F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bucket")).agg(F.count("*").alias("n"), *more)
 
 
 def asinh_stretch(v: Column, softness: float) -> Column:

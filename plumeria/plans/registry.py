@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.operators import calibration, detection, registration, resample, stacking, timeline
+from plumeria.operators import calibration, detection, nearest, photometry, registration, resample, stacking, timeline
 from plumeria.sources import frames
 from plumeria.streaming import live
 
@@ -167,8 +167,9 @@ def p16_local_maxima_1d(px):
     return rounded(detection.local_maxima_1d(px, 8, 0.1))
 
 
-@query(f"""{NEAR}, n AS (SELECT frame_id, x + dx AS x, y + dy AS y, max(v) AS m FROM px, o GROUP BY ALL)
-SELECT frame_id, group_id, x, y, round(v, 6) AS v FROM px JOIN n USING (frame_id, x, y) WHERE v > 0.1::DOUBLE AND v > m""")
+@query("""k AS (SELECT px.*, list_max(list_transform([{'dx': -1, 'dy': -1}, {'dx': -1, 'dy': 0}, {'dx': -1, 'dy': 1}, {'dx': 0, 'dy': -1}, {'dx': 0, 'dy': 1}, {'dx': 1, 'dy': -1}, {'dx': 1, 'dy': 0}, {'dx': 1, 'dy': 1}],
+lambda d: CASE WHEN x + d.dx BETWEEN 0 AND 7 AND y + d.dy BETWEEN 0 AND 7 THEN embedding[(y + d.dy) * 8 + x + d.dx + 1]::DOUBLE END)) AS m FROM px JOIN embeddings ON vec_id = frame_id WHERE v > 0.1::DOUBLE)
+SELECT frame_id, group_id, x, y, round(v, 6) AS v FROM k WHERE v > m""")
 def p17_local_maxima_2d(px):
     return rounded(detection.local_maxima_2d(px, 0.1))
 
@@ -203,11 +204,16 @@ def p20_frame_quality(px):
 CATALOGUE = "c AS (SELECT frame_id AS id, group_id, max(v) FILTER (WHERE x = 0 AND y = 0) AS cx, max(v) FILTER (WHERE x = 1 AND y = 0) AS cy FROM px GROUP BY ALL)"
 
 
+def _catalogue(px):
+    """A point for each frame: two of its values."""
+    at = lambda x: F.max(F.when((F.col("x") == x) & (F.col("y") == 0), F.col("v")))
+    return px.groupBy(F.col("frame_id").alias("id"), "group_id").agg(at(0).alias("cx"), at(1).alias("cy"))
+
+
 @query(f"""{CATALOGUE} SELECT a.id AS a_id, b.id AS b_id, round((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy), 8) AS d2
 FROM c a JOIN c b ON a.group_id < 5 AND b.group_id >= 5 WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 0.02::DOUBLE * 0.02::DOUBLE""")
 def p21_cross_match(px):
-    at = lambda x: F.max(F.when((F.col("x") == x) & (F.col("y") == 0), F.col("v")))
-    c = px.groupBy(F.col("frame_id").alias("id"), "group_id").agg(at(0).alias("cx"), at(1).alias("cy"))
+    c = _catalogue(px)
     return rounded(registration.cross_match(c.where("group_id < 5"), c.where("group_id >= 5"), 0.02), 8)
 
 
@@ -277,10 +283,7 @@ def p26_mosaic(px):
 @query("""b AS (SELECT CASE WHEN v < -0.5 THEN 0 WHEN v >= 0.5 THEN 65 ELSE floor((v + 0.5) * 64)::INT + 1 END AS bucket, asinh(v / 0.05::DOUBLE) / asinh(1 / 0.05::DOUBLE) AS s FROM px)
 SELECT bucket::INT AS bucket, count(*) AS n, round(avg(s), 6) AS stretched FROM b GROUP BY ALL""")
 def p27_histogram_stretch(px):
-    n = resample.histogram(px, -0.5, 0.5, 64)
-    bucket = F.width_bucket("v", F.lit(-0.5), F.lit(0.5), F.lit(64)).cast("int")
-    means = px.groupBy(bucket.alias("bucket")).agg(F.avg(resample.asinh_stretch(F.col("v"), 0.05)).alias("stretched"))
-    return rounded(n.join(means, "bucket"))
+    return rounded(resample.histogram(px, -0.5, 0.5, 64, F.avg(resample.asinh_stretch(F.col("v"), 0.05)).alias("stretched")))
 
 
 @query(
@@ -359,8 +362,60 @@ q AS (SELECT group_id, v, floor(u)::BIGINT + di AS x, floor(w)::BIGINT + dj AS y
 (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS c FROM m, d)
 SELECT group_id, x, y, round(sum(v * c) / sum(c) + 1e-9::DOUBLE, 5) AS value, round(sum(c) + 1e-9::DOUBLE, 5) AS coverage FROM q WHERE c > 0 GROUP BY ALL HAVING sum(c) > 0.001""")
 def p31_registered_stack(px):
-    """Frames brought onto their group's first one by the stars that triangles pair, and stacked there."""
+    """Frames brought onto their group's first one by the stars that triangles pair, and stacked there; sums moved off the ties of rounding."""
     pairs = registration.voted_pairs(registration.brightest(px, 6), 20)
-    stack = resample.bilinear_resample(px, rounded(registration.similarity_transform(pairs)))
+    stack = resample.bilinear_resample(px, rounded(registration.similarity_transform(pairs)), least=0.001)
     off_ties = lambda c: (F.col(c) + 1e-9).alias(c)
-    return rounded(stack.where("coverage > 0.001").select("group_id", "x", "y", off_ties("value"), off_ties("coverage")), 5)
+    return rounded(stack.select("group_id", "x", "y", off_ties("value"), off_ties("coverage")), 5)
+
+
+#: A turn, a shift and its scale for each frame, from its own brightness: rotations of right triangles, exact in small fractions.
+TURNS = [(1.0, 0.0), (0.6, 0.8), (0.8, -0.6)]
+
+
+def _turns(px):
+    level = F.floor(F.abs(F.avg("v")) * 1024)
+    turn = lambda k: F.array(*(F.lit(t[k]) for t in TURNS))[F.pmod(level, F.lit(3)).cast("int")]
+    return px.groupBy("frame_id").agg(turn(0).alias("a"), turn(1).alias("b"), (F.pmod(level, F.lit(4)) / 4).alias("tx"), (F.pmod(level, F.lit(5)) / 8).alias("ty"))
+
+
+@query("""l AS (SELECT frame_id, floor(abs(avg(v)) * 1024)::BIGINT AS l FROM px GROUP BY ALL),
+t AS (SELECT frame_id, 1.5::DOUBLE * [1, 0.6, 0.8][l % 3 + 1]::DOUBLE AS a, 1.5::DOUBLE * [0, 0.8, -0.6][l % 3 + 1]::DOUBLE AS b, 1.5::DOUBLE * (l % 4) / 4 AS tx, 1.5::DOUBLE * (l % 5) / 8 AS ty FROM l),
+m AS (SELECT group_id, v, a * x - b * y + tx AS u, b * x + a * y + ty AS w, a * 0.35::DOUBLE AS p, b * 0.35::DOUBLE AS q FROM px JOIN t USING (frame_id)),
+c AS (SELECT *, unnest(range(floor(u - abs(p) - abs(q))::BIGINT, ceil(u + abs(p) + abs(q))::BIGINT + 1)) AS i FROM m),
+d AS (SELECT *, unnest(range(floor(w - abs(p) - abs(q))::BIGINT, ceil(w + abs(p) + abs(q))::BIGINT + 1)) AS j FROM c),
+k AS (SELECT group_id, v, p, q, i, j, [(u - p + q, w - q - p), (u + p + q, w + q - p), (u + p - q, w + q + p), (u - p - q, w - q + p), (u - p + q, w - q - p)] AS k FROM d),
+e AS (SELECT group_id, v, p, q, i, j, k[n][1] - i AS x0, k[n][2] - j AS y0, k[n + 1][1] - i AS x1, k[n + 1][2] - j AS y1 FROM k, range(1, 5) r(n)),
+h AS (SELECT *, least(greatest(x0, -0.5), 0.5) AS xa, least(greatest(x1, -0.5), 0.5) AS xb, CASE WHEN abs(x1 - x0) < 1e-9 THEN 0 ELSE (y1 - y0) / (x1 - x0) END AS s FROM e),
+g AS (SELECT *, y0 + (xa - x0) * s + 0.5 AS ya, y0 + (xb - x0) * s + 0.5 AS yb FROM h),
+f AS (SELECT group_id, i, j, v, p, q, (xa - xb) * CASE WHEN abs(yb - ya) < 1e-9 THEN least(greatest(ya, 0), 1) ELSE
+((CASE WHEN yb < 0 THEN 0 WHEN yb < 1 THEN yb * yb / 2 ELSE yb - 0.5 END) - (CASE WHEN ya < 0 THEN 0 WHEN ya < 1 THEN ya * ya / 2 ELSE ya - 0.5 END)) / (yb - ya) END / (4 * (p * p + q * q)) AS c FROM g)
+SELECT group_id, i AS x, j AS y, round(sum(v * c) / sum(c) + 1e-9::DOUBLE, 5) + 0 AS value, round(sum(c) + 1e-9::DOUBLE, 5) AS coverage, round(sum(v * c) + 1e-9::DOUBLE, 5) + 0 AS flux FROM f GROUP BY ALL HAVING sum(c) > 1e-12""")
+def p32_drizzle(px):
+    """Drops of 0.7 pixels on a grid of 1.5 cells a pixel; sums moved off the ties of rounding."""
+    out = resample.drizzle(px, _turns(px), 0.7, 1.5)
+    return rounded(out.select("group_id", "x", "y", *((F.col(c) + 1e-9).alias(c) for c in ("value", "coverage", "flux"))), 5)
+
+
+@query("""o AS (SELECT frame_id, group_id * 64 + y * 8 + x AS star_id, v AS m, (1 + (x + y) % 3)::DOUBLE AS w FROM px WHERE v > 0.05::DOUBLE),
+r AS (SELECT 0 AS round, frame_id, star_id, m, w, 0::DOUBLE AS z FROM o
+UNION ALL SELECT round + 1, frame_id, star_id, m, w, sum(w * (m - t)) OVER (PARTITION BY frame_id) / sum(w) OVER (PARTITION BY frame_id) FROM
+(SELECT *, sum(w * (m - z)) OVER (PARTITION BY star_id) / sum(w) OVER (PARTITION BY star_id) AS t FROM r WHERE round < 60)),
+z AS (SELECT frame_id, any_value(z) AS z, count(*) AS n, any_value(star_id) // 64 AS g FROM r WHERE round = 60 GROUP BY frame_id)
+SELECT frame_id, min(frame_id) OVER (PARTITION BY g) AS component, round(z - avg(z) OVER (PARTITION BY g), 6) AS zero_point, n FROM z""")
+def p33_global_photometry(px):
+    """Bright cells as stars that the frames of a group share; the counterpart repeats fits of stars and of frames by turns."""
+    star = (F.col("group_id") * 64 + F.col("y") * 8 + F.col("x")).cast("long").alias("star_id")
+    seen = px.where("v > 0.05").select("frame_id", star, F.col("v").alias("m"), (1 + (F.col("x") + F.col("y")) % 3).alias("w"))
+    return rounded(photometry.zero_points(seen, weight="w")[0])
+
+
+ORACLE_SQL["p33_global_photometry"] = ORACLE_SQL["p33_global_photometry"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"""{CATALOGUE}, d AS (SELECT a.id AS a_id, b.id AS b_id, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d2 FROM c a JOIN c b ON a.group_id < 5 AND b.group_id >= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id)::INT AS rank FROM d)
+SELECT a_id, b_id, round(d2, 8) AS d2, rank FROM r WHERE rank <= 3""")
+def p34_nearest_entries(px):
+    c = _catalogue(px)
+    return rounded(nearest.nearest(c.where("group_id < 5"), c.where("group_id >= 5"), 3), 8)

@@ -1,0 +1,73 @@
+"""Nearest entries against all distances: odd distributions, ties, one crowded spot, small leaves."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from plumeria.operators import nearest
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, 1.5, 7) for r in rows], "id long, cx double, cy double, d2 double, rank int").repartition(3)
+
+
+def plain(a, b, k):
+    ok = lambda r: None not in r[1:] and all(map(math.isfinite, r[1:]))
+    out = Counter()
+    for i, x, y in filter(ok, a):
+        near = sorted(((x - u) * (x - u) + (y - v) * (y - v), j is not None, j or 0) for j, u, v in filter(ok, b))[:k]
+        for rank, (d2, there, j) in enumerate(near, 1):
+            out[i, j if there else None, d2, rank] += 1
+    return out
+
+
+def found(spark, a, b, k):
+    return Counter((r.a_id, r.b_id, r.d2, r.rank) for r in nearest.nearest(table(spark, a), table(spark, b), k).collect())
+
+
+def points(r, n, kind, base=0):
+    spread = {
+        "even": lambda: (r.uniform(0, 1), r.uniform(0, 1)),
+        "crowded": lambda: (r.gauss(0, 1e-9), r.gauss(0, 1e-9)) if r.random() < 0.35 else (r.uniform(-100, 100), r.uniform(-100, 100)),
+        "line": lambda: (3.0, r.uniform(-1, 1)),
+        "grid": lambda: (float(r.randint(0, 4)), float(r.randint(0, 4))),
+        "far": lambda: (r.choice([1e6, -1e12, 5.0]) + r.random(), r.paretovariate(0.3)),
+        "spot": lambda: (1.0, 1.0) if r.random() < 0.5 else (r.random(), r.random()),
+    }[kind]
+    return [(base + i, *spread()) for i in range(n)]
+
+
+@pytest.mark.parametrize(("kind_a", "kind_b", "n_a", "n_b", "k"), [("even", "even", 120, 300, 3), ("crowded", "crowded", 200, 400, 5), ("grid", "grid", 60, 200, 4), ("far", "crowded", 40, 300, 1), ("even", "line", 9, 400, 2), ("spot", "spot", 150, 250, 7), ("crowded", "even", 300, 5, 9)])
+def test_equals_all_distances(spark, monkeypatch, kind_a, kind_b, n_a, n_b, k):
+    monkeypatch.setattr(nearest, "LEAF", 8)
+    monkeypatch.setattr(nearest, "FAN", 3)
+    if k % 2:
+        monkeypatch.setattr(nearest, "BROADCAST", 0)
+    r = random.Random(n_a + n_b)
+    a, b = points(r, n_a, kind_a), points(r, n_b, kind_b, 1000)
+    a += [(1, *a[0][1:]), (None, *a[1][1:]), a[2], a[2], (5000, None, 1.0), (5001, math.nan, 1.0), (5002, 1.0, math.inf)]
+    b += [(b[0][0], *b[0][1:]), (None, *b[1][1:]), (3, *b[2][1:]), (9000, None, None), (9001, -math.inf, 0.0), (4, -0.0, 0.0)]
+    assert found(spark, a, b, k) == plain(a, b, k)
+
+
+def test_blocks_look_at_few_leaves(spark):
+    """A third of all points in one spot: pairs of blocks and leaves grow with the leaves, not with their square."""
+    r = random.Random(1)
+    b = [(i, r.gauss(0, 1e-7), r.gauss(0, 1e-7)) if i % 3 == 0 else (i, r.uniform(-5, 5), r.uniform(-5, 5)) for i in range(6000)]
+    rows = nearest._places(table(spark, b))
+    leaves = nearest.packed(rows, "cx", "cy", "id", 64, 6000, "leaf")
+    sizes = [x["count"] for x in leaves.groupBy("leaf").count().collect()]
+    assert max(sizes) <= 64 and sum(sizes) == 6000
+    blocks = nearest._boxes(leaves.withColumnRenamed("leaf", "block"), "block")
+    pairs = nearest.candidates(blocks, nearest._tree(nearest._boxes(leaves, "leaf")), 2).count()
+    assert len(sizes) <= pairs <= 30 * len(sizes)
+
+
+def test_empty_and_wrong_k(spark):
+    a = table(spark, [(1, 0.0, 0.0)])
+    assert nearest.nearest(a.limit(0), a, 2).count() == 0 and nearest.nearest(a, a.where("id > 1"), 2).count() == 0
+    assert nearest.nearest(a, a, 3).collect() == [(1, 1, 0.0, 1)]
+    with pytest.raises(ValueError):
+        nearest.nearest(a, a, 0)
