@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,15 +212,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """(id, n_tokens, ids_sha256, decoded_sha256) in one pass: encode, decode the ids, and hash both."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def summary(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for texts in batches:
             rows = []
-            for t in texts:
-                packed = c.encode(t)
+            for t in texts:  # one text at a time becomes a string of this process
+                packed = c.encode(t.as_py())
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(c.decode(packed)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            n, ids, data = zip(*rows) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
         give_back()
 
     return docs.select(id_col, summary(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).select(id_col, "s.*")
