@@ -18,8 +18,8 @@ Recall: a sample of ``BITS`` steps agrees for a passage with e of n words edited
 for at the most edits that an item may have; copies are always found. Tests measure it.
 
 Scale: one map over whole documents, without a shuffle. The index of a block of items (at most
-``BLOCK_WORDS`` words, or one item) is broadcast; a larger benchmark is searched block by block, each in
-a pass of its own. The random bits are hashed from walk, step and symbol, not held. Items that share a
+``BLOCK_WORDS`` words, or one item) is broadcast; a larger benchmark is searched block by block: an index is built when
+its block is due, its pass is written, and it is dropped before the next. The random bits are hashed from walk, step and symbol, not held. Items that share a
 passage share its keys; candidates are made distinct before they are verified.
 
 Nulls and texts without words match nothing, and so do items without words. Items with a null id are
@@ -32,15 +32,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 from math import ceil, log
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import give_back, ship
+from plumeria.llm.common import give_back, saved, ship
 
 SIMILARITY, RECALL = 0.8, 0.95
 SAMPLES, BITS, SEED = 3, 3, 11
@@ -57,6 +59,10 @@ def words_of(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
+#: Walks over each window at most. Similarities that take more (below about 0.63) are refused: the method is for near copies.
+MOST_WALKS = 2000
+
+
 def window_size(n: int) -> int:
     """For items of n words: all of a short item, else the largest of a grid (steps of 15 %) that leaves a tenth to shift in."""
     size = 5
@@ -68,7 +74,10 @@ def window_size(n: int) -> int:
 def walks_for(recall: float, similarity: float) -> int:
     """Walks with SAMPLES samples each, so that a passage with the most edits is met with this chance."""
     chance = max(0.01, 1 - CHANGED * (1 - similarity)) ** BITS
-    return max(1, ceil(log(1 - recall) / log(1 - chance) / SAMPLES)) if chance < 1 else 1
+    walks = max(1, ceil(log(1 - recall) / log(1 - chance) / SAMPLES)) if chance < 1 else 1
+    if walks > MOST_WALKS:
+        raise ValueError(f"a similarity of {similarity} takes {walks} walks of at most {MOST_WALKS}")
+    return walks
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -264,18 +273,19 @@ def searched(texts: list[str], index: Index) -> Iterator[tuple[int, int, int, in
             group, first, size = [], n + 1, 0
 
 
-def indexes(benchmark: DataFrame, similarity: float, recall: float, item_id_col: str, item_text_col: str, block_words: int) -> list:
-    """Broadcast indexes of the blocks of items."""
-    spark = benchmark.sparkSession
+def block_indexes(benchmark: DataFrame, similarity: float, recall: float, item_id_col: str, item_text_col: str, block_words: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(broadcast index, whether it is the only one) of each block of items. Of several, one is dropped before the next is built: what used it must be written by then."""
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = items.select(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # at most so many words
     blocks = int(total // block_words) + 1
-    out = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda r: (r["text"], r["item"] is None, 0 if r["item"] is None else r["item"]))
-        out.append(spark.sparkContext.broadcast(Index([(r["item"], words_of(r["text"])) for r in rows], similarity, recall)))
-    return out
+        index = sc.broadcast(Index([(r["item"], words_of(r["text"])) for r in rows], similarity, recall))
+        yield index, blocks == 1
+        if blocks > 1:
+            index.destroy()
 
 
 def find_passages(
@@ -306,10 +316,11 @@ def find_passages(
 
         return passages(F.coalesce(F.col(text_col), F.lit("")))
 
-    parts = [docs.select(F.col(id_col).alias("id"), F.explode(found(i)).alias("p")) for i in indexes(benchmark, similarity, recall, item_id_col, item_text_col, block_words)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    parts = []
+    for index, only in block_indexes(benchmark, similarity, recall, item_id_col, item_text_col, block_words):
+        part = docs.select(F.col(id_col).alias("id"), F.explode(found(index)).alias("p"))
+        parts.append(part if only else saved(part, "passages"))
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.select(F.col("id").alias(id_col), F.col("p.item").alias("item_id"), "p.begin", "p.end", "p.edits", "p.similarity")
 
 
@@ -339,6 +350,8 @@ def decontaminated(
 
         return contaminated
 
-    for index in indexes(benchmark, similarity, recall, item_id_col, item_text_col, block_words):
+    for index, only in block_indexes(benchmark, similarity, recall, item_id_col, item_text_col, block_words):
         docs = docs.where(~held(index)(F.coalesce(F.col(text_col), F.lit(""))))
+        if not only:  # the next block looks at what this one has left
+            docs = saved(docs, "block")
     return docs

@@ -125,6 +125,27 @@ def test_blocks_find_the_same(spark, sf_dir):
     assert whole and {r[:2] for r in whole} == {r[:2] for r in key(D.find_passages(docs, bench, block_words=600))}
 
 
+def test_blocks_come_one_at_a_time(spark, sf_dir, monkeypatch):
+    """An index is built when its block is due, what it finds is written before the next, and no plan holds two of them."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    done, build, save = [], D.walks_for, D.saved
+    monkeypatch.setattr(D, "walks_for", lambda *a: done.append("index") or build(*a))
+    python = lambda df: str(df._jdf.queryExecution().executedPlan()).count("ArrowEvalPython")
+    monkeypatch.setattr(D, "saved", lambda df, name: done.append(python(df)) or save(df, name))
+    whole, kept = D.decontaminated(docs, bench), D.decontaminated(docs, bench, block_words=600)
+    assert done[0] == "index" and done[1:] == ["index", 1] * (len(done) // 2) and len(done) > 6
+    assert python(whole) == 1 and python(kept) == 0
+    assert sorted(r.doc_id for r in whole.collect()) == sorted(r.doc_id for r in kept.collect())
+    done.clear()
+    assert python(D.find_passages(docs, bench, block_words=600)) == 0 and done == ["index", 1] * (len(done) // 2) and len(done) > 6
+
+
+def test_far_similarities_are_refused():
+    assert D.walks_for(0.95, 0.75) < D.MOST_WALKS
+    with pytest.raises(ValueError, match="walks"):
+        D.walks_for(0.95, 0.5)
+
+
 def test_planted_copies_are_all_found(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
