@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.operators import calibration, detection, nearest, photometry, registration, resample, stacking, timeline
+from plumeria.operators import calibration, detection, nearest, photometry, registration, resample, stacking, timeline, validity
 from plumeria.sources import frames
 from plumeria.streaming import live
 
@@ -419,3 +419,45 @@ SELECT a_id, b_id, round(d2, 8) AS d2, rank FROM r WHERE rank <= 3""")
 def p34_nearest_entries(px):
     c = _catalogue(px)
     return rounded(nearest.nearest(c.where("group_id < 5"), c.where("group_id >= 5"), 3), 8)
+
+
+@query(
+    """WITH s AS (SELECT min(event_id) AS s FROM events WHERE event_type = 'signup'),
+m AS (SELECT event_id AS master_id, ts AS valid_from, CASE WHEN event_id <> s THEN ts + INTERVAL 1 MINUTE * (5 * (event_id % 7 + 1)) END AS valid_to FROM events, s WHERE event_type = 'signup')
+SELECT event_id, count(*) AS n, max(master_id) AS master_id FROM events JOIN m ON ts >= valid_from AND (valid_to IS NULL OR ts < valid_to) WHERE event_type <> 'signup' GROUP BY event_id""",
+    pixels=False,
+)
+def p35_valid_masters(spark, sf_dir):
+    """Signups as masters of 5 to 35 minutes, the first one without an end; the others as exposures, with the masters valid at their time."""
+    e = frames.events(spark, sf_dir)
+    first = e.where("event_type = 'signup'").agg(F.min("event_id")).first()[0]
+    until = F.when(F.col("event_id") != F.lit(first), F.col("ts") + F.make_dt_interval(mins=(5 * (F.col("event_id") % 7 + 1)).cast("int")))
+    masters = e.where("event_type = 'signup'").select(F.col("event_id").alias("master_id"), F.col("ts").alias("valid_from"), until.alias("valid_to"))
+    found = validity.valid_at(e.where("event_type <> 'signup'").select("event_id", "ts"), masters)
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.max("match.master_id").alias("master_id"))
+
+
+@query(
+    """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, value AS v FROM events),
+c1 AS (SELECT *, avg(v) OVER c AS m, stddev_pop(v) OVER c AS s, count(*) OVER c AS n FROM w WINDOW c AS (PARTITION BY h, event_type)),
+c2 AS (SELECT h, event_type, v, n, avg(v) OVER c AS m, stddev_pop(v) OVER c AS s FROM c1 WHERE abs(v - m) <= 2::DOUBLE * s WINDOW c AS (PARTITION BY h, event_type))
+SELECT epoch_us(h) AS started, event_type, any_value(n) AS n, count(*) AS kept, round(avg(v), 5) AS mean FROM c2 WHERE abs(v - m) <= 2::DOUBLE * s AND h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY h, event_type""",
+    pixels=False,
+)
+def p36_live_clipped(spark, sf_dir):
+    """Clipped hours that the watermark has passed."""
+    out = live.drained(live.clipped_stack(live.arriving(spark, sf_dir, "events"), ["event_type"]), "clipped", timers=True)
+    return out.select(F.unix_micros("started").alias("started"), "event_type", "n", "kept", F.round("mean", 5).alias("mean"))
+
+
+@query(
+    """WITH f AS (SELECT * FROM events WHERE event_type = 'purchase'), m AS (SELECT * FROM events WHERE event_type = 'click'),
+w AS (SELECT least((SELECT max(ts) FROM f), (SELECT max(ts) FROM m)) - INTERVAL 1 HOUR AS w)
+SELECT f.event_id, m.event_id AS master_id FROM f LEFT JOIN m ON f.user_id = m.user_id AND m.ts >= f.ts - INTERVAL 30 MINUTE AND m.ts <= f.ts + INTERVAL 10 MINUTE, w WHERE m.event_id IS NOT NULL OR f.ts + INTERVAL 10 MINUTE <= w""",
+    pixels=False,
+)
+def p37_live_calibrated(spark, sf_dir):
+    """Purchases as exposures, clicks as masters: all matches, and those without one that the watermark has passed."""
+    of = lambda kind: live.arriving(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    out = live.calibrated(of("purchase").select("event_id", "user_id", "ts"), of("click"), "user_id")
+    return live.drained(out, "calibrated").select("event_id", "master_id")
