@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.operators import calibration, detection, nearest, photometry, registration, resample, stacking, timeline, validity
+from plumeria.operators import background, calibration, detection, nearest, photometry, registration, resample, stacking, timeline, validity
 from plumeria.sources import frames
 from plumeria.streaming import live
 
@@ -461,3 +461,18 @@ def p37_live_calibrated(spark, sf_dir):
     of = lambda kind: live.arriving(spark, sf_dir, "events").where(F.col("event_type") == kind)
     out = live.calibrated(of("purchase").select("event_id", "user_id", "ts"), of("click"), "user_id")
     return live.drained(out, "calibrated").select("event_id", "master_id")
+
+
+@query("""c0 AS (SELECT frame_id, x, y, (x // 2)::INT AS tx, (y // 2)::INT AS ty, v FROM px),
+c1 AS (SELECT *, median(v) OVER t AS m, stddev_pop(v) OVER t AS s FROM c0 WINDOW t AS (PARTITION BY frame_id, tx, ty)),
+c2 AS (SELECT frame_id, tx, ty, v, median(v) OVER t AS m, stddev_pop(v) OVER t AS s FROM c1 WHERE abs(v - m) <= 1.4::DOUBLE * s WINDOW t AS (PARTITION BY frame_id, tx, ty)),
+mesh AS (SELECT frame_id, tx, ty, median(v) AS l FROM c2 WHERE abs(v - m) <= 1.4::DOUBLE * s GROUP BY ALL),
+p AS (SELECT frame_id, x, y, (x - 0.5::DOUBLE) / 2 AS u, (y - 0.5::DOUBLE) / 2 AS w FROM px),
+o AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(di, dj)),
+k AS (SELECT frame_id, x, y, greatest(0, least(3, floor(u)::INT + di)) AS tx, greatest(0, least(3, floor(w)::INT + dj)) AS ty,
+(CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS c FROM p, o)
+SELECT frame_id, x, y, round(sum(c * l) + 1e-9::DOUBLE, 5) + 0 AS background FROM k JOIN mesh USING (frame_id, tx, ty) GROUP BY ALL""")
+def p38_background_surface(px):
+    """Tiles of 2 x 2 pixels, clipped twice at 1.4 deviations; sums moved off the ties of rounding."""
+    out = background.background_surface(px, 2, k=1.4, passes=2)
+    return rounded(out.select("frame_id", "x", "y", (F.col("background") + 1e-9).alias("background")), 5)

@@ -1,0 +1,93 @@
+"""The background surface against plain interpolation: planted gradients, outliers, holes and odd rows."""
+
+import math
+import random
+import statistics
+
+import pytest
+
+from plumeria.operators import background
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "i", 3.0, 1) for r in rows], "frame_id long, x int, y int, v double, u string, background double, l0 int").repartition(3)
+
+
+def catmull(p, f):
+    return p[1] + f / 2 * (p[2] - p[0] + f * (2 * p[0] - 5 * p[1] + 4 * p[2] - p[3] + f * (3 * (p[1] - p[2]) + p[3] - p[0])))
+
+
+def plain(rows, tile, kind, k=3.0, passes=3):
+    tiles = {}
+    for f, x, y, v in rows:
+        if None not in (f, x, y, v) and not math.isnan(v):
+            tiles.setdefault(f, {}).setdefault((x // tile, y // tile), []).append(v)
+    out = {}
+    for f, mesh in tiles.items():
+        for t, vs in mesh.items():
+            for _ in range(passes):
+                m, s = statistics.median(vs), statistics.pstdev(vs)
+                vs = [v for v in vs if abs(v - m) <= k * s] if vs else vs
+            mesh[t] = statistics.median(vs)
+        x0, x1, y0, y1 = (pick(t[i] for t in mesh) for i, pick in ((0, min), (0, max), (1, min), (1, max)))
+        while len(mesh) < (x1 - x0 + 1) * (y1 - y0 + 1):
+            new = {}
+            for i in range(x0, x1 + 1):
+                for j in range(y0, y1 + 1):
+                    near = [mesh[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (i + a, j + b) in mesh]
+                    if (i, j) not in mesh and near:
+                        new[i, j] = sum(near) / len(near)
+            mesh.update(new)
+        at = lambda i, j: mesh[max(x0, min(x1, i)), max(y0, min(y1, j))]  # noqa: B023, E731
+        for g, x, y, _ in rows:
+            if g == f and x is not None and y is not None:
+                u, w = (x - (tile - 1) / 2) / tile, (y - (tile - 1) / 2) / tile
+                i, j = math.floor(u), math.floor(w)
+                if not (x0 - 1 <= i <= x1 and y0 - 1 <= j <= y1):
+                    continue
+                if kind == "bilinear":
+                    a, b = u - i, w - j
+                    value = (1 - a) * ((1 - b) * at(i, j) + b * at(i, j + 1)) + a * ((1 - b) * at(i + 1, j) + b * at(i + 1, j + 1))
+                else:
+                    value = catmull([catmull([at(i + d, j + e) for e in (-1, 0, 1, 2)], w - j) for d in (-1, 0, 1, 2)], u - i)
+                out[f, x, y] = value
+    return out
+
+
+def frame(f, width, height, value, skip=lambda x, y: False):
+    return [(f, x, y, value(x, y)) for x in range(width) for y in range(height) if not skip(x, y)]
+
+
+@pytest.mark.parametrize("kind", ["bilinear", "bicubic"])
+@pytest.mark.parametrize("tile", [1, 3, 4])
+def test_equals_plain_interpolation(spark, kind, tile):
+    r = random.Random(tile)
+    rows = frame(1, 14, 10, lambda x, y: r.choice([r.gauss(x, 1), 1e6 if r.random() < 0.02 else 5.0])) + frame(2, 5, 5, lambda x, y: r.gauss(0, 1))
+    rows += frame(3, 18, 18, lambda x, y: r.choice([None, math.nan]) if 4 <= x < 14 and 2 <= y < 17 else r.gauss(0, 1))
+    rows += [(4, 0, 0, 7.0), (5, 1, 1, None), (None, 1, 1, 2.0), (1, None, 1, 2.0), (6, -5, -7, 1.0), (6, 5, 7, 2.0)] + rows[:4]
+    out = background.background_surface(table(spark, rows), tile, kind=kind)
+    assert out.columns == ["frame_id", "x", "y", "v", "u", "l0", "background"] and out.count() == len(rows)
+    want = plain(rows, tile, kind)
+    for q in out.collect():
+        expected = want.get((q.frame_id, q.x, q.y))
+        assert (q.background is None) == (expected is None) and (expected is None or q.background == pytest.approx(expected, rel=1e-9, abs=1e-9))
+
+
+@pytest.mark.parametrize("kind", ["bilinear", "bicubic"])
+def test_a_planted_gradient_is_recovered(spark, kind):
+    """Inside the outer tiles' middles a plane comes back, stars and all."""
+    r = random.Random(2)
+    sky = lambda x, y: 100 + 0.5 * x - 0.25 * y
+    stars = {(r.randrange(48), r.randrange(48)) for _ in range(60)}
+    rows = frame(1, 48, 48, lambda x, y: sky(x, y) + (5000 if (x, y) in stars else 0))
+    out = background.background_surface(table(spark, rows), 8, kind=kind).where("x BETWEEN 12 AND 35 AND y BETWEEN 12 AND 35").collect()
+    assert len(out) == 24 * 24 and max(abs(q.background - sky(q.x, q.y)) for q in out) < 0.35
+
+
+def test_empty_and_wrong(spark):
+    px = table(spark, [(1, 0, 0, 1.0)])
+    assert background.background_surface(px.limit(0), 4).count() == 0
+    assert [q.background for q in background.background_surface(px, 4).collect()] == [1.0]
+    for bad in ((0, "bilinear"), (4, "cubic")):
+        with pytest.raises(ValueError):
+            background.background_surface(px, bad[0], kind=bad[1])
