@@ -26,7 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.llm.common import ascii_lower, saved
+from plumeria.llm.common import LOWER, UPPER, ascii_lower, saved
+
+TO_LOWER = str.maketrans(UPPER, LOWER)
 
 #: More rules than this and the index is joined by a shuffle instead of a broadcast.
 BROADCAST_RULES = 50_000
@@ -45,20 +47,23 @@ class Rule:
 def host_path_rule(verdict: str, rule: str) -> Rule:
     """``host/path``: fits the host and its subdomains where the URL's path starts with the path; ``host`` alone fits any path."""
     host, slash, path = rule.partition("/")
-    path = slash + path
+    host, path = host.translate(TO_LOWER), slash + path
     regex = r"^(?:[^/?#]*\.)?" + re.escape(host) + (re.escape(path) if path else "(?:[/?]|$)")
-    whole = [t for t in re.split(r"[^a-z0-9]+", host.lower()) if t]
-    parts = re.split(r"[^a-z0-9]+", path.lower())
+    whole = [t for t in re.split(r"[^a-z0-9]+", host) if t]
+    parts = re.split(r"[^a-z0-9]+", path.translate(TO_LOWER))
     whole += [t for t in parts[:-1] if t]  # the last may go on in the URL
     return Rule(rule, verdict, regex, tuple(dict.fromkeys(whole)), 1, len(rule))
 
 
 def pattern_rule(verdict: str, pattern: str) -> Rule:
-    """``||``: start of a host label, ``^``: a separator or the end, ``*``: anything; else literal."""
+    """``||``: start of a host label, ``^``: a separator or the end, ``*``: anything; else literal. The host after ``||`` fits in any case."""
     body, start = (pattern[2:], r"^(?:[^/?#]*\.)?") if pattern.startswith("||") else (pattern, "")
+    if start:
+        host = re.match("[^/?^]*", body)[0]
+        body = host.translate(TO_LOWER) + body[len(host) :]
     made = "".join({"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or re.escape(c) for c in body)
     tokens = [
-        m[0].lower()
+        m[0].translate(TO_LOWER)
         for m in re.finditer(r"[A-Za-z0-9]+", body)
         if (m.start() > 0 and body[m.start() - 1] != "*" or m.start() == 0 and start)
         and (m.end() < len(body) and body[m.end()] != "*")
@@ -113,22 +118,24 @@ def rules_from_table(table: DataFrame) -> DataFrame:
     rows = table.select("kind", "verdict", F.col("rule").alias("name")).where("verdict in ('allow', 'block') and name != ''").distinct()
     quoted = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9*^/])", r"\\$1")
     slash = F.instr("name", "/")
-    host = F.lower(F.when(slash > 0, F.substring("name", F.lit(1), slash - 1)).otherwise(F.col("name")))
+    host = ascii_lower(F.when(slash > 0, F.substring("name", F.lit(1), slash - 1)).otherwise(F.col("name")))
     path = F.when(slash > 0, F.substring("name", slash, F.length("name"))).otherwise(F.lit(""))
     literal = lambda c: F.regexp_replace(quoted(c), r"([*^])", r"\\$1")
-    path_tokens = F.split(F.lower(path), "[^a-z0-9]+")
+    path_tokens = F.split(ascii_lower(path), "[^a-z0-9]+")
     host_tokens = F.concat(F.split(host, "[^a-z0-9]+"), F.slice(path_tokens, F.lit(1), F.size(path_tokens) - 1))
     listed = rows.where("kind = 'listed'").select(
         "name", "verdict", F.concat(F.lit(r"^(?:[^/?#]*\.)?"), literal(host), F.when(path == "", F.lit("(?:[/?]|$)")).otherwise(literal(path))).alias("regex"), host_tokens.alias("tokens"), F.lit(1).alias("layer")
     )
     start = F.startswith("name", F.lit("||"))
-    body = F.when(start, F.substring("name", F.lit(3), F.length("name"))).otherwise(F.col("name"))
+    after = F.substring("name", F.lit(3), F.length("name"))
+    head = F.regexp_extract(after, "^[^/?^]*", 0)  # the host, in lower case as those of the URLs
+    body = F.when(start, F.concat(ascii_lower(head), F.substring(after, F.length(head) + 1, F.length(after)))).otherwise(F.col("name"))
     made = F.replace(F.replace(quoted(body), F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(r"(?:[^A-Za-z0-9_.%-]|$)"))
     whole = F.lit("(?<=[^A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])")
     first = F.when(start, F.regexp_extract(body, "^[A-Za-z0-9]+(?=[^A-Za-z0-9*])", 0)).otherwise(F.lit(""))
     pattern = rows.where("kind = 'pattern'").select(
         "name", "verdict", F.concat(F.lit("(?s)"), F.when(start, F.lit(r"^(?:[^/?#]*\.)?")).otherwise(F.lit("")), made).alias("regex"),
-        F.transform(F.concat(F.array(first), F.regexp_extract_all(body, whole, F.lit(0))), lambda t: F.lower(t)).alias("tokens"), F.lit(0).alias("layer"),
+        F.transform(F.concat(F.array(first), F.regexp_extract_all(body, whole, F.lit(0))), ascii_lower).alias("tokens"), F.lit(0).alias("layer"),
     )
     tokens = F.array_distinct(F.filter("tokens", lambda t: t != ""))
     return listed.unionByName(pattern).select("name", "verdict", "regex", F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))).alias("tokens"), "layer", F.length("name").alias("rank"))

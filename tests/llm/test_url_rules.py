@@ -87,3 +87,15 @@ def test_rules_without_a_whole_token_are_tried_everywhere(spark):
 
 def test_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+@pytest.mark.parametrize("compiled", [False, True])
+def test_upper_case_rules_fit_alike_in_both_compilers(spark, compiled):
+    """Hosts in any case; paths and other literals as they are."""
+    listed, pattern = [("block", "Example.COM/Ab/"), ("allow", "ORG")], [("block", "||Ads.Example^X"), ("block", "||CDN.net/Q/")]
+    rules = [U.host_path_rule(*x) for x in listed] + [U.pattern_rule(*x) for x in pattern]
+    if compiled:
+        rules = U.rules_from_table(spark.createDataFrame([("listed", *x) for x in listed] + [("pattern", *x) for x in pattern], "kind string, verdict string, rule string"))
+    urls = ["http://www.EXAMPLE.com/Ab/c", "http://example.com/ab/c", "http://a.Org/", "http://ads.EXAMPLE/X", "http://ads.example/x", "http://cdn.NET/Q/1", "http://cdn.net/q/1"]
+    got = U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    assert {x.page_id: x.rule or x.pattern for x in got.collect()} == {0: "Example.COM/Ab/", 1: None, 2: "ORG", 3: "||Ads.Example^X", 4: None, 5: "||CDN.net/Q/", 6: None}
