@@ -21,7 +21,7 @@ from plumeria.functions.shared import delete, written
 CELL = ["group_id", "x", "y"]
 FRAME = ["group_id", "frame_id"]
 #: Clipping passes that share a shuffle where the number of passes is not known.
-TOGETHER = 4
+TOGETHER, MOST_TOGETHER = 4, 16
 
 
 def _values(px: DataFrame) -> DataFrame:
@@ -57,16 +57,16 @@ def sigma_clip_stack(px: DataFrame, k: float = 2.0, passes: int = 2) -> DataFram
 def sigma_clip_converged(px: DataFrame, k: float = 2.0) -> DataFrame:
     """Clips each cell until nothing is dropped; (value, n, passes), passes that dropped something.
 
-    ``TOGETHER`` passes share a shuffle; what is left of the cells that the last of them still changed is
+    ``TOGETHER`` passes share a shuffle, then twice as many, up to ``MOST_TOGETHER``; what is left of the cells that the last of them still changed is
     written and goes on, the others are done. No cell is gathered in memory. A pass that would drop all
     of a cell drops none.
     """
     cell = Window.partitionBy(*CELL)
     far = F.abs(F.col("v") - F.avg("v").over(cell)) > F.stddev_pop("v").over(cell) * (k * (1 + 1e-15))
     rows = _values(px).select(*CELL, "v", F.lit(0).alias("passes"), F.lit(True).alias("open"))
-    done, paths, last = None, [], []
+    done, paths, last, together = None, [], [], TOGETHER
     while True:
-        for _ in range(TOGETHER):
+        for _ in range(together):
             rows = rows.withColumn("far", far).withColumn("dropped", F.count_if("far").over(cell)).withColumn("all", F.count("*").over(cell))
             changed = (F.col("dropped") > 0) & (F.col("dropped") < F.col("all"))
             rows = rows.where(~(F.col("far") & changed)).select(*CELL, "v", (F.col("passes") + changed.cast("int")).alias("passes"), changed.alias("open"))
@@ -74,7 +74,7 @@ def sigma_clip_converged(px: DataFrame, k: float = 2.0) -> DataFrame:
         part = rows.where("not open").groupBy(*CELL).agg(F.avg("v").alias("value"), F.count("*").alias("n"), F.max("passes").alias("passes"))
         part = written(part, "stacked")
         done = part if done is None else done.unionByName(part)
-        rows = rows.where("open")
+        rows, together = rows.where("open"), min(2 * together, MOST_TOGETHER)
         delete(px.sparkSession, last)
         if rows.isEmpty():
             delete(px.sparkSession, paths)
