@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeria.operators import background, calibration, detection, nearest, photometry, registration, resample, stacking, timeline, validity
+from plumeria.functions.shared import new_path, until_exit
+from plumeria.operators import background, calibration, detection, incremental, nearest, photometry, registration, resample, stacking, timeline, validity
 from plumeria.sources import frames
 from plumeria.streaming import live
 
@@ -476,3 +477,15 @@ def p38_background_surface(px):
     """Tiles of 2 x 2 pixels, clipped twice at 1.4 deviations; sums moved off the ties of rounding."""
     out = background.background_surface(px, 2, k=1.4, passes=2)
     return rounded(out.select("frame_id", "x", "y", (F.col("background") + 1e-9).alias("background")), 5)
+
+
+@query("SELECT group_id, x, y, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stddev, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_disc(v, 0.5), 6) AS median FROM px GROUP BY ALL")
+def p39_incremental_stack(px):
+    """Frames that come in four batches, the second one twice; sketches that are exact up to 4,096 frames."""
+    spark = px.sparkSession
+    path = new_path(spark, "stack")
+    until_exit(spark, path)
+    stack = incremental.IncrementalStack(spark, path, k=4096)
+    for k in (0, 1, 1, 2, 3):
+        stack.add(px.where(F.pmod(F.col("frame_id"), F.lit(4)) == k), "frames", k)
+    return rounded(stack.result().select("group_id", "x", "y", "n", "mean", "stddev", "min", "max", F.col("q")[0].alias("median")))
