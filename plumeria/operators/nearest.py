@@ -1,4 +1,4 @@
-"""The k nearest catalogue entries without a radius.
+"""The k nearest catalogue entries without a radius, and all within one.
 
 The catalogue is packed into leaves of at most ``LEAF`` entries: ranges of (cx, cy), dealt out by a sample, become strips, and a
 strip sorted by cy is cut every ``LEAF`` rows. So leaves follow the density, whatever the distribution, and a third
@@ -67,29 +67,31 @@ def _tree(leaves: DataFrame) -> list[DataFrame]:
     return [*levels, level]
 
 
-def _bounded(pairs: DataFrame, k: int) -> DataFrame:
-    """Pairs of a block (box b_*) and a node (box) that can hold one of the k nearest of some entry of the block."""
+def _bounded(pairs: DataFrame, k: int | None, d2: float | None) -> DataFrame:
+    """Pairs of a block (box b_*) and a node (box) that can hold one of the k nearest of some entry of the block, or one within the squared distance."""
     c = F.col
     gap = lambda lo, hi: F.greatest(F.lit(0.0), c(lo) - c(f"b_{hi}"), c(f"b_{lo}") - c(hi))
     far = lambda lo, hi: F.greatest(c(hi) - c(f"b_{lo}"), c(f"b_{hi}") - c(lo))
     gx, gy, fx, fy = gap("x0", "x1"), gap("y0", "y1"), far("x0", "x1"), far("y0", "y1")
     pairs = pairs.withColumns({"_least": gx * gx + gy * gy, "_most": fx * fx + fy * fy})
+    if k is None:
+        return pairs.where(F.col("_least") <= d2).drop("_least", "_most")
     by = Window.partitionBy("block")
     upto = F.sum("n").over(by.orderBy("_most", "node").rowsBetween(Window.unboundedPreceding, 0))
     pairs = pairs.withColumn("_upto", upto).withColumn("_bound", F.min(F.when(c("_upto") >= k, c("_most"))).over(by))
     return pairs.where("_bound IS NULL OR _least <= _bound").drop("_least", "_most", "_upto", "_bound")
 
 
-def candidates(blocks: DataFrame, levels: list[DataFrame], k: int) -> DataFrame:
+def candidates(blocks: DataFrame, levels: list[DataFrame], k: int | None, d2: float | None = None) -> DataFrame:
     """(block, node): the leaves that each block (block, box) has to look at."""
     top = levels[-1].select("node", *BOX, "n").collect()  # at most FAN
     nodes = F.array(*(F.struct(*(F.lit(v).alias(name) for name, v in r.asDict().items())) for r in top))
     box = [F.col(c).alias(f"b_{c}") for c in BOX]
-    pairs = written(_bounded(blocks.select("block", *box).select("*", F.inline(nodes)), k), "pairs")
+    pairs = written(_bounded(blocks.select("block", *box).select("*", F.inline(nodes)), k, d2), "pairs")
     for level in reversed(levels[:-1]):
         small = F.broadcast(level) if level.count() <= BROADCAST else level
         own = pairs.select("block", *(f"b_{c}" for c in BOX), F.col("node").alias("parent"))
-        pairs = written(_bounded(own.join(small, "parent").drop("parent"), k), "pairs")
+        pairs = written(_bounded(own.join(small, "parent").drop("parent"), k, d2), "pairs")
     return pairs.select("block", "node")
 
 
@@ -98,37 +100,52 @@ def _gathered(rows: DataFrame, name: str, to: str) -> DataFrame:
     return rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("id", "cx", "cy"))).alias(to))
 
 
-def _best(k: int):
+def _met(k: int | None, within: float | None):
+    """Of a block's entries and a leaf's: the k nearest of each, or those within the squared distance; as places in the two lists."""
+
     @F.pandas_udf("array<struct<a:int,b:int,d2:double>>")
-    def best(ax: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for many in ax:
+    def met(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for many in batches:
             out = []
             for x, y, u, v in zip(*many):
                 dx, dy = x[:, None] - u[None, :], y[:, None] - v[None, :]
                 d2 = dx * dx + dy * dy
-                first = np.argsort(d2, axis=1, kind="stable")[:, :k]  # equal distances by id, as the entries are in that order
-                out.append([{"a": i, "b": int(j), "d2": float(d2[i, j])} for i in range(len(x)) for j in first[i]])
+                if k is None:
+                    a, b = np.nonzero(d2 <= within)
+                else:
+                    b = np.argsort(d2, axis=1, kind="stable")[:, :k]  # equal distances by id, as the entries are in that order
+                    a, b = np.repeat(np.arange(len(x)), b.shape[1]), b.ravel()
+                out.append([{"a": i, "b": j, "d2": d} for i, j, d in zip(a.tolist(), b.tolist(), d2[a, b].tolist())])
             yield pd.Series(out, dtype=object)
 
-    return best
+    return met
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int = 1) -> DataFrame:
-    """(a_id, b_id, d2, rank): the k entries of b nearest to each of a, both (id, cx, cy); equally near ones by id. All of b where it has fewer."""
-    if k < 1:
-        raise ValueError("k is at least 1")
-    same = Window.partitionBy("cx", "cy").orderBy("id")
-    b = written(_places(b).withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same"), "catalogue")
-    a = written(_places(a), "search")
+def _paired(a: DataFrame, b: DataFrame, k: int | None, d2: float | None) -> DataFrame:
+    """(block, place, a_id, b_id, d2) of what the pairs of blocks and leaves give. a and b are written."""
     n_a, n_b = a.count(), b.count()
     if not n_a or not n_b:
-        return a.join(b, F.lit(False)).select(a["id"].alias("a_id"), b["id"].alias("b_id"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
+        return a.join(b, F.lit(False)).select(F.lit(0).cast("long").alias("block"), F.lit(0).alias("place"), a["id"].alias("a_id"), b["id"].alias("b_id"), F.lit(0.0).alias("d2"))
     b = packed(b, "cx", "cy", "id", LEAF, n_b, "leaf")
     a = packed(a, "cx", "cy", "id", min(LEAF, max(1, ceil(LEAF * n_a / n_b))), n_a, "block")
-    pairs = candidates(_boxes(a, "block"), _tree(_boxes(b, "leaf")), k)
+    pairs = candidates(_boxes(a, "block"), _tree(_boxes(b, "leaf")), k, d2)
     pairs = pairs.join(_gathered(a, "block", "left"), "block").join(_gathered(b.withColumnRenamed("leaf", "node"), "node", "right"), "node")
-    found = pairs.select("block", "left", "right", F.explode(_best(k)("left.cx", "left.cy", "right.cx", "right.cy")).alias("p"))
+    found = pairs.select("block", "left", "right", F.explode(_met(k, d2)("left.cx", "left.cy", "right.cx", "right.cy")).alias("p"))
     at = lambda side, i: F.element_at(side, F.col(i) + 1)["id"]
-    found = found.select("block", F.col("p.a").alias("place"), at("left", "p.a").alias("a_id"), at("right", "p.b").alias("b_id"), F.col("p.d2").alias("d2"))
+    return found.select("block", F.col("p.a").alias("place"), at("left", "p.a").alias("a_id"), at("right", "p.b").alias("b_id"), F.col("p.d2").alias("d2"))
+
+
+def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """(a_id, b_id, d2): all pairs of a and b, both (id, cx, cy), at most the radius apart, however crowded a place is."""
+    return _paired(written(_places(a), "search"), written(_places(b), "catalogue"), None, radius * radius).select("a_id", "b_id", "d2")
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int = 1) -> DataFrame:
+    """(a_id, b_id, d2, rank): the k entries of b nearest to each of a, both (id, cx, cy); equally near ones by id. All of b where it has fewer."""
+    if k < 1:
+        raise ValueError("k is at least 1")
+    same = Window.partitionBy("cx", "cy").orderBy("id")
+    b = written(_places(b).withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same"), "catalogue")
+    found = _paired(written(_places(a), "search"), b, k, None)
     rank = F.row_number().over(Window.partitionBy("block", "place").orderBy("d2", "b_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("a_id", "b_id", "d2", "rank")

@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.columns import valued
+from plumeria.operators.nearest import within
+
+#: Rows of a cell up to which a cross-match joins cells as they are.
+CROWDED = 50_000
 
 
 def cross_match(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """(a_id, b_id, d2): pairs of (id, cx, cy) within the radius, found by an equi-join on cells of its size."""
+    """(a_id, b_id, d2): pairs of (id, cx, cy) within the radius, found by an equi-join on cells of its size.
+
+    Where one cell holds more than ``CROWDED`` rows of b, by the leaves of :mod:`plumeria.operators.nearest` instead, which part a crowded cell.
+    """
     a, b = (valued(valued(c, "cx"), "cy") for c in (a, b))
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    fullest = b.groupBy(cell("cx").alias("i"), cell("cy").alias("j")).count().agg(F.max("count")).first()[0] or 0
+    if fullest > CROWDED:
+        return within(a, b, radius)
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     left = a.select(F.col("id").alias("a_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.explode(around).alias("o"))
     left = left.select("a_id", "ax", "ay", (cell("ax") + F.col("o.i")).alias("i"), (cell("ay") + F.col("o.j")).alias("j"))

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from plumeria.operators import nearest
+from plumeria.operators import nearest, registration
 
 
 def table(spark, rows):
@@ -65,6 +65,21 @@ def test_blocks_look_at_few_leaves(spark):
     assert len(sizes) <= pairs <= 30 * len(sizes)
 
 
+@pytest.mark.parametrize("radius", [1e-9, 0.3, 500.0])
+def test_all_within_a_radius(spark, monkeypatch, radius):
+    """By leaves and by cells: the same pairs as from all distances."""
+    monkeypatch.setattr(nearest, "LEAF", 8)
+    monkeypatch.setattr(nearest, "FAN", 3)
+    r = random.Random(6)
+    a, b = points(r, 80, "crowded") + points(r, 30, "grid", 500), points(r, 120, "crowded", 1000) + points(r, 40, "grid", 2000)
+    a, b = a + [a[0], (7000, None, 1.0)], b + [b[0], (8000, math.nan, 1.0)]
+    want = Counter((i, j, (x - u) * (x - u) + (y - v) * (y - v)) for i, x, y in a[:-1] for j, u, v in b[:-1] if (x - u) * (x - u) + (y - v) * (y - v) <= radius * radius)
+    for crowded in (0, 10**9):
+        monkeypatch.setattr(registration, "CROWDED", crowded)
+        assert Counter(map(tuple, registration.cross_match(table(spark, a), table(spark, b), radius).collect())) == want
+    assert nearest.within(table(spark, a).limit(0), table(spark, b), radius).count() == 0
+
+
 def test_empty_and_wrong_k(spark):
     a = table(spark, [(1, 0.0, 0.0)])
     assert nearest.nearest(a.limit(0), a, 2).count() == 0 and nearest.nearest(a, a.where("id > 1"), 2).count() == 0
