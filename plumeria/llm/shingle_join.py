@@ -9,7 +9,7 @@ All links: in any order of all shingles, two sets of similarity s share one amon
 ``n - ceil(s * n) + 1`` of each (their prefixes). Prefixes are joined, so no pair is missed. The order
 puts shingles that a sample of the texts has often last; it only decides how many candidates there are.
 Candidates come in two rounds, and each is kept by the exact similarity of the two sets. First, pairs by
-SimHash tries and of each node with the ends of its shingles' nodes, which are few however many copies
+SimHash tries and of each node with the ends of its shingles' nodes (where enough of both sets is still to come), which are few however many copies
 a text has. Second, all pairs whose nodes the first round has left in different components. Before the
 sets are fetched, candidates are compared by parities: each hash flips one bit of its text, out of as
 many as it has shingles or more (a power of two), so two texts differ in no more bits than their sets
@@ -200,11 +200,19 @@ def near_nodes(rows: DataFrame, docs: DataFrame, similarity: float, width: int,
     """(node, root) of every linked node of rows (as :func:`described`): the components of all pairs of the similarity."""
     nodes = saved(rows.select("node", "fp", "n", "parity").dropDuplicates(["node"]), "nodes")
     places = shared_places(rows)
-    ends = saved(places.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "ends")
+    end = F.struct("node", "n", "at")
+    ends = saved(places.groupBy("h").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.node < hi.node"), "ends")
     places = saved(places.join(ends, "h"), "places")
 
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = places.select(F.explode(F.array(pair(F.col("node"), F.col("lo")), pair(F.col("node"), F.col("hi")))).alias("p")).select("p.*")
+
+    def enough(xn: Column, xat: Column, yn: Column, yat: Column) -> Column:
+        """At the first shingle that two sets share, all others that they share are still to come."""
+        return F.least(xn - xat, yn - yat) >= (xn + yn) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+    # pairs that this leaves out share an earlier shingle, or are not similar: the second round looks at all
+    hopeful = lambda e: F.when(enough(F.col("n"), F.col("at"), e["n"], e["at"]), pair(F.col("node"), e["node"]))
+    stars = places.select(F.explode(F.array(*(hopeful(F.col(e)) for e in ("lo", "hi")))).alias("p")).where("p IS NOT NULL").select("p.*")
     by_fp = saved(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
     same = nodes.join(by_fp, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = near_links(by_fp.select("fp"), BUDGET)
@@ -216,11 +224,8 @@ def near_nodes(rows: DataFrame, docs: DataFrame, similarity: float, width: int,
     places = saved(places, "places")
     mixed = saved(places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "mixed")
     x, y = (places.select("h", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "at", "root"))) for k in "xy")
-    # at the first shingle that two sets share, all others that they share are still to come
-    rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    enough = rest >= (F.col("x_n") + F.col("y_n")) * F.lit(similarity / (1 + similarity)) - 1e-6
     more = x.join(mixed, "h", "left_semi").join(y, "h")
-    more = more.where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _sizes("x_n", "y_n", similarity) & enough)
+    more = more.where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _sizes("x_n", "y_n", similarity) & enough(*map(F.col, ("x_n", "x_at", "y_n", "y_at"))))
     more = possible(more.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), nodes, similarity)
     more = saved(more.join(first, ["a", "b"], "left_anti"), "pairs")
     return components(found.unionByName(similar(more, fetched(more, rows, docs, width, id_col, text_col), similarity)))
