@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from plumeria.llm import quality_divergence as Q
 from plumeria.llm import queries
 
@@ -99,3 +101,60 @@ def test_any_language_is_learned_and_unknown_ones_are_not_judged(spark):
     assert all(out[i]["_kept"] and out[i]["_word_distance"] is None for i in range(75, 82))  # too few to learn from, or not declared
     assert not any(out[i]["_kept"] for i in range(82, 87)) and out[87]["_kept"] and not out[88]["_kept"] and not out[89]["_kept"]
     assert Q.vocabulary(docs, languages=2)[0] == ["aa", "bb"] and len(Q.vocabulary(docs, common=3)[1]) <= 12
+
+
+def js_of(text, words, ref):
+    found = [w.lower() for w in WORDS(text)]
+    shares = [found.count(w) / len(found) for w in words]
+    return js(shares + [1 - sum(shares)], ref)
+
+
+def shares_of(texts, words):
+    each = [[WORDS(t.lower()).count(w) / len(WORDS(t)) for w in words] for t in texts]
+    means = [sum(c) / len(each) for c in zip(*each)] if words else []
+    return means + [1 - sum(means)]
+
+
+@pytest.mark.parametrize("broadcast", [5_000, 0])
+def test_languages_beyond_the_widespread_are_judged_by_their_own(spark, monkeypatch, broadcast):
+    """Word distances of eleven languages, three of them beyond the eight, from plain loops."""
+    monkeypatch.setattr(Q, "BROADCAST_LANGUAGES", broadcast)
+    r = random.Random(5)
+    names = ["l%02d" % k for k in range(11)]
+    talk = {x: ["".join(r.choice("aeioumnrst") for _ in range(2)) + chr(97 + k) for _ in range(15)] for k, x in enumerate(names)}
+    rows = [(x, speech(r, talk[x])) for k, x in enumerate(names) for _ in range(30 - k)] + [("rare", speech(r, talk["l00"])), (None, speech(r, talk["l10"]))]
+    junk = " ".join("%08x" % r.randrange(2**32) for _ in range(150))
+    rows += [("l10", junk), ("l10", speech(r, talk["l00"])), ("l10", None), ("l09", "")]
+    docs = spark.createDataFrame([(i, t, x, i, None) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, own_words int, _kept string")
+    out = {x["doc_id"]: x for x in Q.rate_documents(docs).collect()}
+    assert len(out) == len(rows) and all(out[i]["own_words"] == i for i in out)
+
+    def common(x):
+        seen = collections.Counter(w for lang, t in rows if lang == x and t for w in set(WORDS(t.lower())) if w.isalpha())
+        return sorted(seen, key=lambda w: (-seen[w], w))[: Q.COMMON]
+
+    wide = sorted({w for x in names[:8] for w in common(x)})
+    good = {x: [t for lang, t in rows if lang == x and t and not brute(t)[-1]] for x in names}
+    refs = {x: shares_of(good[x], wide) for x in names[:8]}
+    for i, (x, t) in enumerate(rows):
+        if x in names and t and len(WORDS(t)) >= Q.MIN_WORDS:
+            each = [js_of(t, wide, refs[y]) for y in refs]
+            if x in names[8:]:
+                own = wide + sorted(set(common(x)) - set(wide))
+                each.append(js_of(t, own, shares_of(good[x], own)))
+            assert abs(min(each) - out[i]["_word_distance"]) < 1e-9
+        else:
+            assert out[i]["_word_distance"] is None
+    n = len(rows) - 6
+    assert all(out[i]["_kept"] for i in range(n + 2)) and not out[n + 2]["_kept"] and out[n + 3]["_kept"] and not out[n + 4]["_kept"] and not out[n + 5]["_kept"]
+
+
+def test_trusted_samples_judge_a_table_of_junk(spark):
+    """A language whose documents here are mostly junk: by itself junk is its reference, by the samples it is rejected."""
+    r = random.Random(6)
+    talk = ["".join(r.choice("aeioumnrst") for _ in range(3)) for _ in range(14)]
+    junk = lambda: " ".join("%08x" % r.randrange(2**32) for _ in range(150))
+    docs = spark.createDataFrame([(i, "aa", junk() if i < 30 else speech(r, talk)) for i in range(33)], "doc_id long, lang string, text string")
+    samples = spark.createDataFrame([("aa", speech(r, talk)) for _ in range(20)], "lang string, text string")
+    kept = lambda **k: {x["doc_id"] for x in Q.rate_documents(docs, **k).where("_kept").collect()}
+    assert kept() & set(range(30)) and kept(samples=samples) == {30, 31, 32}
