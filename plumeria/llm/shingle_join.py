@@ -13,7 +13,9 @@ SimHash tries and of each node with the ends of its shingles' nodes, which are f
 a text has. Second, all pairs whose nodes the first round has left in different components. Before the
 sets are fetched, candidates are compared by parities: each hash flips one bit of its text, out of as
 many as it has shingles or more (a power of two), so two texts differ in no more bits than their sets
-differ in shingles. Twice as many bits are folded to the other's number. No similar pair is lost.
+differ in shingles. Twice as many bits are folded to the other's number. No similar pair is lost. The second
+round compares parities folded to the least number while it joins, so that pairs that only share frequent
+shingles are compared there and go no further; how many it compares still grows with the square of such a group.
 
 Scale: prefixes are put in order once, by ranges of (shingle, node), so that a shingle of many texts is
 spread; there, those of one node only fall out, and what is left is small. Texts are read again, not
@@ -145,6 +147,22 @@ def _sizes(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-9
 
 
+def _parities_apart(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+
+
+def _most_apart(a_n: str, b_n: str, similarity: float) -> Column:
+    """Shingles of one set only that two sets of these sizes may have."""
+    return (F.col(a_n) + F.col(b_n)) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def least_parity(parity: str) -> Column:
+    """The parity folded to ``PARITIES`` bits, so that any two can be compared."""
+    k = PARITIES // 64
+    part = lambda i: F.aggregate(F.sequence(F.lit(i + 1), F.size(parity), F.lit(k)), F.lit(0).cast("long"), lambda v, j: v.bitwiseXOR(F.element_at(parity, j)))
+    return F.when(F.size(parity) == k, F.col(parity)).otherwise(F.array(*map(part, range(k))))
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose sizes and parities (node, n, parity) allow the similarity."""
     a, b = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("parity").alias(f"{k}_parity")) for k in "ab")
@@ -154,9 +172,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
         halves = F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(c) > short, halves).otherwise(F.col(c))
 
-    apart = F.aggregate(F.zip_with(folded("a_parity"), folded("b_parity"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    most = (F.col("a_n") + F.col("b_n")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-    pairs = pairs.join(a, "a").join(b, "b").where(_sizes("a_n", "b_n", similarity) & (apart <= most))
+    near = _parities_apart(folded("a_parity"), folded("b_parity")) <= _most_apart("a_n", "b_n", similarity)
+    pairs = pairs.join(a, "a").join(b, "b").where(_sizes("a_n", "b_n", similarity) & near)
     return saved(pairs.select("a", "b"), "possible")
 
 
@@ -215,12 +232,15 @@ def near_nodes(rows: DataFrame, docs: DataFrame, similarity: float, width: int,
     places = places.select("h", "node", "n", "at").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     places = saved(places, "places")
     mixed = saved(places.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "mixed")
-    x, y = (places.select("h", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "at", "root"))) for k in "xy")
+    # nodes of shingles that link different components, with parities: the join below lets few pairs out
+    open_ = places.join(mixed, "h", "left_semi").join(nodes.select("node", least_parity("parity").alias("parity")), "node")
+    open_ = saved(open_.select("h", "node", "n", "at", "root", "parity"), "open")
+    x, y = (open_.select("h", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "at", "root", "parity"))) for k in "xy")
     # at the first shingle that two sets share, all others that they share are still to come
     rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     enough = rest >= (F.col("x_n") + F.col("y_n")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    more = x.join(mixed, "h", "left_semi").join(y, "h")
-    more = more.where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _sizes("x_n", "y_n", similarity) & enough)
+    near = _parities_apart(F.col("x_parity"), F.col("y_parity")) <= _most_apart("x_n", "y_n", similarity)
+    more = x.join(y, "h").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & _sizes("x_n", "y_n", similarity) & enough & near)
     more = possible(more.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), nodes, similarity)
     more = saved(more.join(first, ["a", "b"], "left_anti"), "pairs")
     return components(found.unionByName(similar(more, fetched(more, rows, docs, width, id_col, text_col), similarity)))
