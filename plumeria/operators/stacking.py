@@ -1,7 +1,7 @@
 """Stacks: many values for each cell of a group combined into one, with outliers rejected.
 
 All take pixel rows (frame_id, group_id, x, y, v) and shuffle them once, by the cell (those that
-weigh or choose frames once more, by the frame); a group's cells are spread, so a group with most of
+weigh or choose frames once more, by the frame; clipping to convergence sums up crowded cells instead); a group's cells are spread, so a group with most of
 the frames is no hot spot. Quantiles and deviations are taken over the cell's window, so nothing is
 joined back.
 
@@ -22,6 +22,11 @@ CELL = ["group_id", "x", "y"]
 FRAME = ["group_id", "frame_id"]
 #: Clipping passes that share a shuffle where the number of passes is not known.
 TOGETHER, MOST_TOGETHER = 4, 16
+#: Values of a cell up to which its passes share a shuffle: as many as a window keeps without a page of memory (spark.sql.windowExec.buffer.in.memory.threshold).
+CROWDED = 4096
+#: Cells that are broadcast to the values.
+BROADCAST = 2_000_000
+MOMENTS = ["n", "lo", "hi", "mean", "spread"]
 
 
 def _values(px: DataFrame) -> DataFrame:
@@ -57,13 +62,58 @@ def sigma_clip_stack(px: DataFrame, k: float = 2.0, passes: int = 2) -> DataFram
 def sigma_clip_converged(px: DataFrame, k: float = 2.0) -> DataFrame:
     """Clips each cell until nothing is dropped; (value, n, passes), passes that dropped something.
 
-    ``TOGETHER`` passes share a shuffle, then twice as many, up to ``MOST_TOGETHER``; what is left of the cells that the last of them still changed is
-    written and goes on, the others are done. No cell is gathered in memory. A pass that would drop all
-    of a cell drops none.
+    A pass that would drop all of a cell drops none. Cells of more than ``CROWDED`` values go by :func:`_clipped_by_ranges`, the others by
+    :func:`_clipped_together`, whose windows hold a cell for each of their passes.
     """
-    cell = Window.partitionBy(*CELL)
+    rows, paths = _values(px).select(*CELL, "v"), []
+    full = rows.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
+    full = written(full.select(*CELL, F.monotonically_increasing_id().alias("cell")), "crowded", paths)
+    n = full.count()
+    if not n:
+        delete(px.sparkSession, paths)
+        return _clipped_together(rows, k)
+    named = full.select(*(F.col(c).alias(f"_{c}") for c in CELL), "cell")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL]
+    rows = written(rows.join(F.broadcast(named) if n <= BROADCAST else named, same, "left").select(*CELL, "v", "cell"), "values", paths)
+    crowded = _clipped_by_ranges(rows.where("cell IS NOT NULL").select("cell", "v"), full, k)
+    others = _clipped_together(rows.where("cell IS NULL").drop("cell"), k)
+    delete(px.sparkSession, paths)
+    return crowded.unionByName(others)
+
+
+def _clipped_by_ranges(rows: DataFrame, cells: DataFrame, k: float) -> DataFrame:
+    """:func:`sigma_clip_converged` of rows (cell, v), whatever a cell holds; cells has the columns of ``CELL`` for each cell number. Both are written.
+
+    What a pass leaves of a cell are its values between two of them. So a pass sums up the rows between those that the pass before left, and only the
+    ranges and moments, a row for each cell, go on to the next: no cell is gathered, sorted or shuffled.
+    """
+    spark, last, paths = rows.sparkSession, [], []
+    left = [f(F.col("v")).alias(c) for c, f in (("_n", F.count), ("_lo", F.min), ("_hi", F.max), ("_mean", F.avg), ("_spread", F.stddev_pop))]
+    far = F.abs(F.col("v") - F.col("mean")) > F.col("spread") * (k * (1 + 1e-15))
+    first = rows.groupBy("cell").agg(*left).select("cell", *(F.col(f"_{c}").alias(c) for c in MOMENTS))
+    state = written(cells.join(first, "cell").withColumns({"passes": F.lit(0), "open": F.lit(True)}), "ranges", last)
+    small = F.broadcast if state.count() <= BROADCAST else lambda df: df
+    while not state.where("open").isEmpty():
+        by = state.where("open").select("cell", "lo", "hi", "mean", "spread")
+        kept = rows.join(small(by), "cell").where(F.col("v").between(F.col("lo"), F.col("hi")) & ~far).groupBy("cell").agg(*left)
+        changed = F.coalesce(F.col("open") & (F.col("_n") < F.col("n")), F.lit(False))
+        now = {c: F.when(changed, F.col(f"_{c}")).otherwise(F.col(c)) for c in MOMENTS}
+        state = state.join(small(kept), "cell", "left").select("cell", *CELL, *(v.alias(c) for c, v in now.items()), (F.col("passes") + changed.cast("int")).alias("passes"), changed.alias("open"))
+        state = written(state, "ranges", paths)
+        delete(spark, last)
+        last, paths = paths, []
+    return state.select(*CELL, F.col("mean").alias("value"), "n", "passes")
+
+
+def _clipped_together(rows: DataFrame, k: float) -> DataFrame:
+    """:func:`sigma_clip_converged` of rows (the columns of ``CELL``, v): ``TOGETHER`` passes share a shuffle, then twice as many, up to ``MOST_TOGETHER``.
+
+    What is left of the cells that the last of them still changed is written and goes on, the others are done. The windows of a task hold
+    twice as many copies of a cell as there are passes, so cells have to be small: those up to ``CROWDED`` values take no memory page of their own.
+    """
+    spark, cell = rows.sparkSession, Window.partitionBy(*CELL)
     far = F.abs(F.col("v") - F.avg("v").over(cell)) > F.stddev_pop("v").over(cell) * (k * (1 + 1e-15))
-    rows = _values(px).select(*CELL, "v", F.lit(0).alias("passes"), F.lit(True).alias("open"))
+    rows = rows.select(*CELL, "v", F.lit(0).alias("passes"), F.lit(True).alias("open"))
     done, paths, last, together = None, [], [], TOGETHER
     while True:
         for _ in range(together):
@@ -75,9 +125,9 @@ def sigma_clip_converged(px: DataFrame, k: float = 2.0) -> DataFrame:
         part = written(part, "stacked")
         done = part if done is None else done.unionByName(part)
         rows, together = rows.where("open"), min(2 * together, MOST_TOGETHER)
-        delete(px.sparkSession, last)
+        delete(spark, last)
         if rows.isEmpty():
-            delete(px.sparkSession, paths)
+            delete(spark, paths)
             return done
         last, paths = paths, []
 

@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumeria.functions import shared
 from plumeria.operators import calibration, detection, registration, resample, stacking, timeline
 from plumeria.sources import frames
 
@@ -118,3 +120,48 @@ def test_sessions_and_matches_cross_midnight(spark):
     assert s == {(1, 2, 3), (1, 1, 3), (None, 1, 4), (1, 1, 5), (1, 1, 6)}
     m = timeline.as_of(e, "user_id", F.col("event_type") == "click", F.col("event_type") == "purchase")
     assert {r.event_id: r.match and r.match.event_id for r in m.collect()} == {2: 1, 3: 1, 4: None, 6: 5}
+
+
+def clipped(values):
+    """(value, n, passes) of a plain loop."""
+    v, passes = np.array(values), 0
+    while True:
+        kept = v[abs(v - v.mean()) <= 2 * (1 + 1e-15) * v.std()]
+        if len(kept) in (0, len(v)):
+            return pytest.approx(v.mean()), len(v), passes
+        v, passes = kept, passes + 1
+
+
+def test_windows_hold_no_cell_of_many_frames(spark, monkeypatch):
+    """A window for each pass would hold a copy of the cell, 32 in a round: cells beyond a window's buffer of 4096 rows go without."""
+    cells = {x: np.random.default_rng(x).laplace(size=n) for x, n in enumerate([9000, 4000, 50])}
+    px = spark.createDataFrame(pd.DataFrame([(f, 0, x, 0, v) for x, vs in cells.items() for f, v in enumerate(vs)], columns=["frame_id", "group_id", "x", "y", "v"]))
+    fullest = []
+
+    def spied(df, name, paths=None):
+        out = shared.written(df, name, paths)
+        if "Window [" in df._jdf.queryExecution().optimizedPlan().toString():
+            fullest.append(out.groupBy("group_id", "x", "y").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(stacking, "written", spied)
+    assert {r.x: (r.value, r.n, r.passes) for r in stacking.sigma_clip_converged(px).collect()} == {x: clipped(v) for x, v in cells.items()}
+    assert 0 < max(fullest) <= 4096
+
+
+@pytest.mark.parametrize("crowded", [0, 3, 40])
+def test_crowded_cells_clip_like_others(spark, monkeypatch, crowded):
+    """By ranges and by windows the same: cells of all sizes, null keys, equal and infinite values, cells that a pass would empty."""
+    rng = np.random.default_rng(11)
+    cells = {x: rng.normal(size=n) * rng.choice([1, 1, 30], size=n) for x, n in enumerate([1, 2, 3, 4, 5, 39, 40, 41, 300])}
+    cells |= {20: [0.1] * 3, 21: [0.1] * 50, 22: [0.0, -0.0] * 30 + [5.0], 23: [1.0, 2.0, float("inf")], 24: [0, 0, 0, 0, 1.0], None: [*rng.normal(size=60), 99.0]}
+    rows = [(i, None if x is None else 0, x, 0, float(v)) for x, vs in cells.items() for i, v in enumerate(vs)]
+    px = spark.createDataFrame([*rows, (1, 0, 50, 0, None), (1, 0, 1, 0, float("nan"))], "frame_id long, group_id int, x int, y int, v double")
+    monkeypatch.setattr(stacking, "CROWDED", 10**9)
+    want = {r.x: (r.group_id, r.y, pytest.approx(r.value, nan_ok=True), r.n, r.passes) for r in stacking.sigma_clip_converged(px).collect()}
+    assert len(want) == len(cells) and want[None][3] < 61
+    monkeypatch.setattr(stacking, "CROWDED", crowded)
+    if crowded == 3:
+        monkeypatch.setattr(stacking, "BROADCAST", 0)
+    got = stacking.sigma_clip_converged(px).collect()
+    assert len(got) == len(want) and {r.x: (r.group_id, r.y, r.value, r.n, r.passes) for r in got} == want
