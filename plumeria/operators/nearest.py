@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from math import ceil, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +32,9 @@ from plumeria.functions.shared import written
 
 LEAF, FAN = 256, 16
 BROADCAST = 200_000
+#: Results of blocks and leaves that a worker gathers before it hands them on.
+HELD = 1 << 16
+FOUND = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("d2", pa.float64())]))
 BOX = ["x0", "x1", "y0", "y1"]
 
 
@@ -101,13 +104,22 @@ def _gathered(rows: DataFrame, name: str, to: str) -> DataFrame:
 
 
 def _met(k: int | None, within: float | None):
-    """Of a block's entries and a leaf's: the k nearest of each, or those within the squared distance; as places in the two lists."""
-
-    @F.pandas_udf("array<struct<a:int,b:int,d2:double>>")
-    def met(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for many in batches:
-            out = []
-            for x, y, u, v in zip(*many):
+    """Of a block's entries and a leaf's: the k nearest of each, or those within the squared distance; as places in the two lists.
+
+    Results are columns, handed on once there are ``HELD``, so a worker holds an Arrow batch of pairs and a piece of the results, however many follow.
+    """
+
+    def piece(many: list[tuple[np.ndarray, ...]]) -> pa.Array:
+        columns = [pa.array(np.concatenate(c), of.type) for c, of in zip(zip(*many), FOUND.value_type)]
+        ends = np.cumsum([0, *(len(one[0]) for one in many)], dtype="int32")
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(FOUND.value_type)), FOUND)
+
+    @F.arrow_udf("array<struct<a:int,b:int,d2:double>>")
+    def met(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sides, ready, held = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch], [], 0
+            for row in range(len(batch[0])):
+                x, y, u, v = (of[at[row] : at[row + 1]] for at, of in sides)
                 dx, dy = x[:, None] - u[None, :], y[:, None] - v[None, :]
                 d2 = dx * dx + dy * dy
                 if k is None:
@@ -115,8 +127,13 @@ def _met(k: int | None, within: float | None):
                 else:
                     b = np.argsort(d2, axis=1, kind="stable")[:, :k]  # equal distances by id, as the entries are in that order
                     a, b = np.repeat(np.arange(len(x)), b.shape[1]), b.ravel()
-                out.append([{"a": i, "b": j, "d2": d} for i, j, d in zip(a.tolist(), b.tolist(), d2[a, b].tolist())])
-            yield pd.Series(out, dtype=object)
+                ready.append((a.astype("int32"), b.astype("int32"), d2[a, b]))
+                held += len(a)
+                if held >= HELD:
+                    yield piece(ready)
+                    ready, held = [], 0
+            if ready:
+                yield piece(ready)
 
     return met
 

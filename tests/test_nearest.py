@@ -1,9 +1,12 @@
 """Nearest entries against all distances: odd distributions, ties, one crowded spot, small leaves."""
 
 import math
+import os
 import random
 from collections import Counter
+from pathlib import Path
 
+import psutil
 import pytest
 
 from plumeria.operators import nearest, registration
@@ -86,3 +89,28 @@ def test_empty_and_wrong_k(spark):
     assert nearest.nearest(a, a, 3).collect() == [(1, 1, 0.0, 1)]
     with pytest.raises(ValueError):
         nearest.nearest(a, a, 0)
+
+
+def worker_mb(at, reset=False):
+    """The largest figure of /proc's status among this session's Python workers; reset has their peaks begin anew."""
+    most = 0
+    for p in psutil.Process().children(recursive=True):
+        folder = Path(f"/proc/{p.pid}")
+        try:
+            if b"pyspark.daemon" in (folder / "cmdline").read_bytes():
+                if reset:
+                    (folder / "clear_refs").write_text("5")
+                most = max(most, *(int(x.split()[1]) / 1024 for x in (folder / "status").read_text().splitlines() if x.startswith(at)), 0)
+        except OSError:
+            pass
+    return most
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/clear_refs"), reason="reads Linux's figures of memory")
+def test_results_leave_python_in_pieces(spark):
+    """All pairs of 1500 by 1500 entries: millions of results, of which a worker holds a piece at a time."""
+    r = random.Random(4)
+    a, b = (table(spark, points(r, 1500, "even", base)).coalesce(1) for base in (0, 10_000))
+    before = worker_mb("VmRSS:", reset=True)
+    assert nearest.within(a, b, 2.0).selectExpr("sum(a_id + b_id + d2) AS s", "count(*) AS n").first()["n"] == 1500 * 1500
+    assert 0 < worker_mb("VmHWM:") < before + 300
